@@ -7,7 +7,8 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import leakage, lookalike, packing, quantiles
+from quillspark.llm import cooccur, history, leakage, lookalike, packing, quantiles
+from quillspark.session import materialise
 
 #: A duration beyond one day is absurd, as is a negative one.
 LONGEST_MS = 86_400_000
@@ -17,6 +18,50 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+# ---- 1: tags that occur together -------------------------------------------------
+
+MIN_TOGETHER, MIN_SHARE, MIN_LIFT = 5, 0.002, 3
+
+
+def tag_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """(items, w): the baskets of the three tables, identical ones together."""
+    c = cooccur.union_repeats(cooccur.baskets(_t(spark, sf, "classification"), "classification_id", "tags"))
+    e = cooccur.baskets(_t(spark, sf, "extraction").where("kind = 'concept_drop'"), "extraction_id", "tags")
+    i = cooccur.baskets(_t(spark, sf, "index_entry"), "entry_id", "tags")
+    return materialise(cooccur.sets(c.select("items").unionAll(e.select("items")).unionAll(i.select("items"))), "tag-sets")
+
+
+def p1_tag_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every pair of tags: baskets that hold both, lift, and surprise under the null."""
+    s = tag_sets(spark, sf)
+    sizes = s.groupBy(F.size("items").alias("size")).agg(F.sum("w").alias("n"))
+    n = s.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
+    r = cooccur.surprise(cooccur.pair_counts(s), cooccur.item_counts(s), sizes, n)
+    return r.select(F.col("a").alias("tag_a"), F.col("b").alias("tag_b"), "n_ab", "n_a", "n_b", "lift", "expected", "log10_p", "q", F.lit(n).alias("n_baskets"))
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    r = p1_tag_pairs(spark, sf)
+    often = (F.col("n_ab") >= MIN_TOGETHER) & (F.col("n_ab") >= F.lit(MIN_SHARE) * F.col("n_baskets"))
+    return r.where(often & (F.col("n_ab") * F.col("n_baskets") >= MIN_LIFT * F.col("n_a") * F.col("n_b"))).select("tag_a", "tag_b")
+
+
+def p1_pair_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return cooccur.pair_counts(tag_sets(spark, sf)).select(F.col("a").alias("tag_a"), F.col("b").alias("tag_b"), "n_ab")
+
+
+_TAG = r"""regexp_replace(regexp_replace(regexp_replace(lower(t), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '^#\s*', ''), '[\s\p{Z}_-]+', '-', 'g')"""
+_P1 = f"""WITH raw AS (
+  SELECT DISTINCT 'c' AS src, classification_id AS id, unnest(tags) AS t FROM classification
+  UNION ALL SELECT 'e', extraction_id, unnest(tags) FROM extraction WHERE kind = 'concept_drop'
+  UNION ALL SELECT 'i', entry_id, unnest(tags) FROM index_entry),
+it AS (SELECT DISTINCT src, id, {_TAG} AS tag FROM raw WHERE t IS NOT NULL),
+ok AS (SELECT * FROM it WHERE tag NOT IN ('', '-')),
+n AS (SELECT count(*) AS n FROM (SELECT DISTINCT src, id FROM ok)),
+f AS (SELECT tag, count(*) AS c FROM ok GROUP BY tag),
+p AS (SELECT a.tag AS tag_a, b.tag AS tag_b, count(*) AS n_ab FROM ok a JOIN ok b ON a.src = b.src AND a.id = b.id AND a.tag < b.tag GROUP BY ALL)
+"""
+
 # ---- 3: percentiles --------------------------------------------------------------
 
 
@@ -73,6 +118,17 @@ c AS (SELECT *, sum(n) OVER (PARTITION BY {keys} ORDER BY sign, sign * i ROWS UN
 SELECT {keys}, CAST(max(total) AS BIGINT) AS n, {rank(0.5)} AS p50, {rank(0.95)} AS p95, {rank(0.99)} AS p99 FROM c GROUP BY {keys}"""
 
 
+# ---- 6: new batches against history ----------------------------------------------
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The table admitted month by month, each batch against the index of those before."""
+    rows = _t(spark, sf, "harvested_fixture").select(
+        F.col("fixture_no").alias("no"), F.col("source_harvest_id").alias("arrival"), F.col("source_drop_id").alias("origin"), F.col("input.text").alias("text")
+    )
+    return history.admit_all(rows, F.substring("arrival", 1, 7))
+
+
 # ---- 7: containers ---------------------------------------------------------------
 
 
@@ -114,9 +170,13 @@ def p9_classes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_tag_pairs": p1_tag_pairs,
+    "p1_pair_counts": p1_pair_counts,
     "p3_daily_buckets": p3_daily_buckets,
     "p3_percentiles": p3_percentiles,
     "p3_daily_percentiles": p3_daily_percentiles,
+    "p6_found": p6_found,
     "p7_containers": p7_containers,
     "p8_found": p8_found,
     "p8_leak_runs": p8_leak_runs,
@@ -125,6 +185,9 @@ QUERIES = {
     "p9_classes": p9_classes,
 }
 SQL = {
+    "p1_found": f"""{_P1} SELECT tag_a, tag_b FROM p JOIN f x ON x.tag = tag_a JOIN f y ON y.tag = tag_b, n
+ WHERE n_ab >= {MIN_TOGETHER} AND n_ab >= {MIN_SHARE} * n.n AND n_ab * n.n >= {MIN_LIFT} * x.c * y.c""",
+    "p1_pair_counts": f"{_P1} SELECT tag_a, tag_b, n_ab FROM p",
     "p3_daily_buckets": f"{_P3_BUCKETS} SELECT day, target_kind, metric, sign, i, count(*) AS n FROM b GROUP BY ALL",
     "p3_percentiles": _p3_sql("target_kind, metric"),
     "p3_daily_percentiles": _p3_sql("day, target_kind, metric"),
