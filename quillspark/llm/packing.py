@@ -40,28 +40,26 @@ def encoder(path: str = TOKENIZER):
 
 def cut(text: str, enc, capacity: int) -> list[tuple[int, int, int]]:
     """(start, end, tokens) pieces of a text that join to the whole; each piece encodes
-    to at most `capacity` tokens on its own."""
-    out, at = [], 0
-    while at < len(text):
-        # a token is one character at least only for whole characters, so guess, then shrink
-        end = min(len(text), at + 8 * capacity)
-        n = len(enc.encode_ordinary(text[at:end]))
-        while n > capacity:
-            end = at + max(1, min(end - at - 1, (end - at) * capacity // n))
-            n = len(enc.encode_ordinary(text[at:end]))
-            if end - at == 1:
+    to at most `capacity` tokens on its own. The text is encoded once and cut between
+    tokens that end a character; encoding a piece again only confirms its size."""
+    raw = text.encode("utf-8", "surrogatepass")
+    ends, at = [], 0
+    for x in enc.decode_tokens_bytes(enc.encode_ordinary(text)):
+        at += len(x)
+        ends.append(at)
+    out, first, byte, char = [], 0, 0, 0
+    while byte < len(raw):
+        last, piece, n = min(len(ends), first + capacity), "", 0
+        while True:
+            while last > first + 1 and ends[last - 1] < len(raw) and raw[ends[last - 1]] & 0xC0 == 0x80:
+                last -= 1
+            piece = raw[byte : ends[last - 1]].decode("utf-8", "surrogatepass")
+            n = len(enc.encode_ordinary(piece))
+            if n <= capacity or last == first + 1:
                 break
-        # grow back in halving steps while there is room left
-        step = capacity // 2
-        while step and end < len(text):
-            more = min(len(text), end + step)
-            m = len(enc.encode_ordinary(text[at:more]))
-            if m <= capacity:
-                end, n = more, m
-            else:
-                step //= 2
-        out.append((at, end, n))
-        at = end
+            last -= max(1, n - capacity)
+        out.append((char, char + len(piece), n))
+        char, byte, first = char + len(piece), ends[last - 1], last
     return out
 
 
