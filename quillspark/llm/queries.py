@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import cooccur, history, leakage, lookalike, packing, quantiles
+from quillspark.llm import canonical, cooccur, history, leakage, lookalike, packing, pii, quantiles
 from quillspark.session import materialise
 
 #: A duration beyond one day is absurd, as is a negative one.
@@ -118,6 +118,47 @@ c AS (SELECT *, sum(n) OVER (PARTITION BY {keys} ORDER BY sign, sign * i ROWS UN
 SELECT {keys}, CAST(max(total) AS BIGINT) AS n, {rank(0.5)} AS p50, {rank(0.95)} AS p95, {rank(0.99)} AS p99 FROM c GROUP BY {keys}"""
 
 
+# ---- 4: free-entered life areas --------------------------------------------------
+
+
+def _areas(spark: SparkSession, sf: str) -> DataFrame:
+    """(source_table, row_id, list_pos, value), once per place."""
+    c = _t(spark, sf, "classification").where("classification_id is not null").select(F.lit("classification").alias("source_table"), F.col("classification_id").alias("row_id"), F.lit(0).alias("list_pos"), F.col("life_area").alias("value"))
+    v = _t(spark, sf, "vault_config").select(F.lit("vault_config").alias("source_table"), F.col("vault_id").alias("row_id"), F.posexplode("life_categories").alias("p", "value"))
+    return c.where("value is not null").distinct().unionAll(v.select("source_table", "row_id", (F.col("p") + 1).alias("list_pos"), "value"))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    areas = _t(spark, sf, "life_category")
+    names = F.concat(F.array("life_category", "title"), F.coalesce("aliases", F.array().cast("array<string>")))
+    entries = areas.select(F.col("life_category").alias("entry"), F.explode(names).alias("name")).where("name is not null")
+    r = canonical.map_values(_areas(spark, sf), entries, areas.select(F.col("life_category").alias("entry")), "value")
+    return r.select("source_table", "row_id", "list_pos", F.col("entry").alias("life_category")).distinct()
+
+
+# ---- 5: personal information -----------------------------------------------------
+
+#: Only for tests: a deployment passes its own key.
+DEMO_KEY = b"quillspark-demo"
+
+
+def _personal(spark: SparkSession, sf: str) -> DataFrame:
+    """(source_table, row_key, text) of the texts that may hold personal information."""
+    f = _t(spark, sf, "eval_fixture").where("category = 'life'").select(F.lit("eval_fixture").alias("source_table"), F.col("id").alias("row_key"), F.col("input.text").alias("text"))
+    e = _t(spark, sf, "extraction").where("kind in ('personal_log', 'life_entry')").select(F.lit("extraction").alias("source_table"), F.col("extraction_id").cast("string").alias("row_key"), F.col("content").alias("text"))
+    return f.unionAll(e)
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    names = pii.load_names(_t(spark, sf, "name_part"))
+    return pii.findings(_personal(spark, sf), names, "text", "source_table", "row_key").distinct()
+
+
+def p5_masked(spark: SparkSession, sf: str) -> DataFrame:
+    """The same texts with every finding replaced by its placeholder."""
+    return pii.masked(_personal(spark, sf), pii.load_names(_t(spark, sf, "name_part")), DEMO_KEY, "text")
+
+
 # ---- 6: new batches against history ----------------------------------------------
 
 
@@ -176,6 +217,9 @@ QUERIES = {
     "p3_daily_buckets": p3_daily_buckets,
     "p3_percentiles": p3_percentiles,
     "p3_daily_percentiles": p3_daily_percentiles,
+    "p4_found": p4_found,
+    "p5_found": p5_found,
+    "p5_masked": p5_masked,
     "p6_found": p6_found,
     "p7_containers": p7_containers,
     "p8_found": p8_found,
