@@ -5,7 +5,8 @@
    accents, look-alike and commonly misread characters do not matter.
 2. Postings (term, doc, position) are kept for the terms of the test vocabulary.
 3. Of each window of `words` test words the `anchors` rarest terms are looked up; a
-   posting at position p of an anchor at test position q votes for offset p - q.
+   posting at position p of an anchor at test position q votes for offset p - q, and
+   the offset-adjusted lists are intersected: `votes` anchors must agree on an offset.
 4. Each (doc, test item, offset) so found is verified word by word: the longest run of
    equal words decides (exact phrase), words within one edit count as equal (proximity).
 
@@ -33,7 +34,6 @@ _MARKUP = re.compile(r"<[^<>\n]{1,60}>|\{\\[^{}\n]*\}")
 # [bracketed] anywhere, and lines wholly in parentheses, asterisks or note signs
 _SOUND = re.compile(r"\[[^\[\]\n]*\]|^[^\S\n]*[-–]?[^\S\n]*(?:\([^()\n]*\)|\*[^*\n]*\*|[♪♫][^\n]*)[^\S\n]*$", re.M)
 _SPEAKER = re.compile(r"^[^\S\n]*[-–]?[^\S\n]*[^\W\d_a-z][^\Wa-z]*(?:[ .][^\W\d_a-z][^\Wa-z]*){0,2}:[^\S\n]", re.M)
-_APOSTROPHE = re.compile("['’ʼ]")
 _WORD = re.compile(r"[^\W_]+")
 _MARKS = re.compile("[̀-ͯ]")
 #: Characters that recognition confuses, and the class they are folded to.
@@ -52,13 +52,26 @@ def _repair(text: str) -> str:
     return text
 
 
+class _Folded(dict):
+    """Folded form by word; forgets all when it holds too many."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) >= 1 << 18:
+            self.clear()
+        self[word] = f = word.translate(FOLD_ONE).replace("fl", "tl")
+        return f
+
+
+_FOLDED = _Folded()
+
+
 def fold_words(text: str) -> list[str]:
     """Folded words of already cleaned text."""
     t = text
     if not t.isascii():
         t = _MARKS.sub("", skeleton(t))
-    t = _APOSTROPHE.sub("", t.lower()).translate(FOLD_ONE).replace("fl", "tl")
-    return _WORD.findall(t)
+    fold = _FOLDED.__getitem__
+    return [fold(w) for w in _WORD.findall(t.lower().replace("'", ""))]
 
 
 def _clean(text: str) -> str:
@@ -147,7 +160,7 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b[["doc", "item"]].assign(run=[r for r, _ in runs], start=[s for _, s in runs])
 
 
-def leaks(docs: DataFrame, tests: DataFrame, doc_id: str, text_col: str, item_id: str, item_text: str, words: int = 13, n_anchors: int = 3) -> DataFrame:
+def leaks(docs: DataFrame, tests: DataFrame, doc_id: str, text_col: str, item_id: str, item_text: str, words: int = 13, n_anchors: int = 3, votes: int = 2) -> DataFrame:
     """(doc, item, run, start): test items of which at least `words` consecutive words
     are spoken in a document, with the longest run and where it starts in the item."""
     plain = F.pandas_udf(_plain_udf, "string")
@@ -160,7 +173,9 @@ def leaks(docs: DataFrame, tests: DataFrame, doc_id: str, text_col: str, item_id
     df = materialise(p.groupBy("term").agg(F.count("*").alias("n")), "leak-df")
     a = anchors(t, df, words, n_anchors)
     looked = F.broadcast(a) if a.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else a
-    found = p.join(looked, "term").select("doc", "reading", "item", (F.col("pos") - F.col("q")).alias("offset")).distinct()
+    # intersect the offset-adjusted lists: an offset needs the votes of several anchors
+    hits = p.join(looked, "term").groupBy("doc", "reading", "item", (F.col("pos") - F.col("q")).alias("offset")).agg(F.count("*").alias("v"))
+    found = hits.where(F.col("v") >= votes).drop("v")
     cols = found.join(s, ["doc", "reading"]).join(t.withColumnRenamed("words", "test"), "item").select("doc", "item", "offset", "words", "test")
     kind = dict(cols.dtypes)
     runs = cols.mapInPandas(_verify, f"doc {kind['doc']}, item {kind['item']}, run int, start int").where(F.col("run") >= words)
