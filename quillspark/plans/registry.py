@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("delivery_queries",)
+MODULES = ("trace_queries", "delivery_queries", "scalar_queries")
 
 
 def gather() -> tuple[dict, dict]:
