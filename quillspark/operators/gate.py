@@ -27,7 +27,9 @@ def cooldown(calls: DataFrame, key: str, ts: str, tie: str, seconds: float) -> D
     """calls with `ok`. After a pause of the whole cooldown the next call is always
     accepted, so a key's calls are cut there into independent runs, which are spread
     over all tasks and walked in time order with one call of state, never gathered.
-    Null keys and times are left out; equal times go by `tie`."""
+    Null keys and times are left out; equal times go by `tie`;
+    columns named ok, _us and _run are replaced."""
+    calls = calls.drop("ok", "_us", "_run")
     order = Window.partitionBy(key).orderBy(ts, tie)
     micros = int(seconds * 1e6)
     c = calls.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
