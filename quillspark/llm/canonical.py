@@ -124,8 +124,8 @@ def match(values: DataFrame, entries: DataFrame) -> DataFrame:
 def map_values(rows: DataFrame, entries: DataFrame, names: DataFrame, value: str) -> DataFrame:
     """rows with `entry`: the matched entry or ''. names: (entry) spellings that are no
     case; their rows are dropped, as are null and blank values. Distinct values are
-    matched once, then joined back."""
+    matched once, then joined back; a column named entry is replaced."""
     cases = rows.where(F.col(value).isNotNull() & (F.length(F.regexp_replace(value, r"(?U)\s+", "")) > 0)).join(maybe_broadcast(names.select(F.col("entry").alias(value)).distinct()), value, "left_anti")
     distinct = cases.select(F.col(value).alias("value")).distinct()
-    found = match(distinct, entries).select(F.col("value").alias(value), "entry")
-    return cases.join(found, value, "left").withColumn("entry", F.coalesce("entry", F.lit("")))
+    found = match(distinct, entries).select(F.col("value").alias(value), F.col("entry").alias("_entry"))
+    return cases.drop("_entry").join(found, value, "left").withColumn("entry", F.coalesce("_entry", F.lit(""))).drop("_entry")
