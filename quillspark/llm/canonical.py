@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from quillspark.session import maybe_broadcast
 
 #: Least Jaccard of whole forms, of consonant forms, of truncated forms and of letter bags.
-THRESHOLD = {"w": 0.5, "c": 0.75, "t": 0.8, "l": 0.84}
+THRESHOLD = {"w": 0.4, "c": 0.75, "t": 0.8, "l": 0.84}
 #: Least letters of a form of each kind.
 LEAST = {"w": 3, "c": 4, "t": 4, "l": 9}
 #: A truncation keeps at least this many letters and this share of the name.

@@ -38,17 +38,26 @@ _WORD = re.compile(r"[^\W_]+")
 _MARKS = re.compile("[̀-ͯ]")
 #: Characters that recognition confuses, and the class they are folded to.
 FOLD_ONE = str.maketrans({"0": "o", "1": "l", "i": "l", "c": "e", "h": "ll", "m": "rn", "w": "vv", "5": "s"})
-_MOJIBAKE = re.compile("[ÂÃÐÑ][\u0080-ÿŒ-™]")
+_MOJIBAKE = re.compile("[ÂÃÐÑâ][\u0080-ÿŒ-™]")
+
+
+def _undo(text: str) -> str:
+    for page in ("cp1252", "latin-1"):
+        try:
+            return text.encode(page).decode("utf-8")
+        except UnicodeError:
+            continue
+    return text
 
 
 def _repair(text: str) -> str:
-    """Text that was UTF-8 but was decoded as a single-byte code page, undone if it can be."""
-    if _MOJIBAKE.search(text):
-        for page in ("cp1252", "latin-1"):
-            try:
-                return text.encode(page).decode("utf-8")
-            except UnicodeError:
-                continue
+    """Text that was UTF-8 but was decoded as a single-byte code page, once or twice,
+    undone as a whole if it can be, else line by line."""
+    for _ in range(2):
+        if not _MOJIBAKE.search(text):
+            break
+        whole = _undo(text)
+        text = whole if whole != text else "\n".join(_undo(x) if _MOJIBAKE.search(x) else x for x in text.split("\n"))
     return text
 
 
@@ -102,9 +111,16 @@ def _spoken_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda t: [" ".join(x) for x in spoken(t)])
 
 
+def test_words(text: str) -> str:
+    """Words of a test item, parted by blanks; the parts that punctuation makes of one
+    word (as in a mail address) are joined by underscores, so that it counts as one."""
+    words = ("_".join(fold_words(w)) for w in _clean(text).split())
+    return " ".join(w for w in words if w)
+
+
 def _plain_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
-        yield s.map(lambda t: " ".join(fold_words(_clean(t))))
+        yield s.map(test_words)
 
 
 def spoken_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -124,7 +140,7 @@ def anchors(tests: DataFrame, df: DataFrame, words: int, n: int) -> DataFrame:
     """(term, item, q): of each window of test words the n rarest positions by corpus
     frequency; a term the corpus lacks votes for nothing and is passed over, but then a
     window that lacks any of its words exactly still has its other terms."""
-    t = tests.select("item", F.posexplode(F.split("words", " ")).alias("q", "term"))
+    t = tests.select("item", F.posexplode(F.split("words", "[ _]")).alias("q", "term"))
     freq = t.join(df, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     w = Window.partitionBy("item").orderBy("q").rowsBetween(0, words - 1)
     ranked = freq.withColumn("win", F.collect_list(F.struct("n", "q", "term")).over(w)).where(F.size("win") == words)
@@ -144,29 +160,33 @@ def _near(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:]
 
 
-def longest_run(doc: list[str], test: list[str], offset: int) -> tuple[int, int]:
-    """Longest run of agreeing words on the diagonal, and its start in the test item."""
-    best = at = run = 0
-    for q in range(max(0, -offset), min(len(test), len(doc) - offset)):
-        run = run + 1 if _near(doc[q + offset], test[q]) else 0
+def longest_run(doc: list[str], test: str, offset: int) -> tuple[int, int]:
+    """Most whole words of the test item in one run of agreeing parts on the diagonal, and
+    the number of the first of them."""
+    best = at = run = q = 0
+    for number, word in enumerate(test.split(" ")):
+        parts = word.split("_")
+        whole = all(0 <= q + i + offset < len(doc) and _near(doc[q + i + offset], p) for i, p in enumerate(parts))
+        run = run + 1 if whole else 0
         if run > best:
-            best, at = run, q - run + 1
+            best, at = run, number - run + 1
+        q += len(parts)
     return best, at
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        runs = [longest_run(d.split(" "), t.split(" "), o) for d, t, o in zip(b.words, b.test, b.offset, strict=True)]
+        runs = [longest_run(d.split(" "), t, o) for d, t, o in zip(b.words, b.test, b.offset, strict=True)]
         yield b[["doc", "item"]].assign(run=[r for r, _ in runs], start=[s for _, s in runs])
 
 
 def leaks(docs: DataFrame, tests: DataFrame, doc_id: str, text_col: str, item_id: str, item_text: str, words: int = 13, n_anchors: int = 3, votes: int = 2) -> DataFrame:
     """(doc, item, run, start): test items of which at least `words` consecutive words
-    are spoken in a document, with the longest run and where it starts in the item."""
+    are spoken in a document, with the longest run and the word it starts with, from 0."""
     plain = F.pandas_udf(_plain_udf, "string")
     t = tests.where(F.col(item_id).isNotNull() & (F.length(item_text) > 0)).select(F.col(item_id).alias("item"), plain(F.col(item_text)).alias("words"))
     t = materialise(t.where(F.size(F.split("words", " ")) >= words).distinct(), "leak-tests")
-    vocabulary = t.select(F.explode(F.split("words", " ")).alias("term")).distinct()
+    vocabulary = t.select(F.explode(F.split("words", "[ _]")).alias("term")).distinct()
     small = vocabulary.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     s = materialise(spoken_table(docs, doc_id, text_col), "leak-spoken")
     p = postings(s, vocabulary, small)
