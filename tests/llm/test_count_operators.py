@@ -148,6 +148,24 @@ def test_history_equals_the_plain_loop(spark):
     assert {tuple(r) for r in history.History(spark).admit(df).collect()} == got
 
 
+def test_large_buckets_are_not_expanded_but_lose_nothing(spark, monkeypatch):
+    """Many different near copies share buckets; two texts lead a bucket at a time."""
+    monkeypatch.setattr(history, "LEADERS", 2)
+    rng = random.Random(9)
+    base = [" ".join(f"w{rng.randrange(40)}" for _ in range(24)) for _ in range(3)]
+    rows = []
+    for i in range(90):
+        w = base[i % 3].split()
+        for _ in range(rng.randint(0, 1)):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(1000)}"
+        rows.append((i, "d", rng.choice([None, f"o{rng.randrange(60)}"]), " ".join(w)))
+    df = spark.createDataFrame([(*r, 1) for r in rows], SCHEMA)
+    assert {tuple(r) for r in history.History(spark).admit(df).collect()} == brute(rows)
+    live = spark.createDataFrame([(1, c, c) for c in range(50)], "key long, cls long, at long")
+    pairs, rest = history.led_pairs(live)
+    assert pairs.count() == 2 * 49 and rest.count() == 48
+
+
 def test_history_of_nothing(spark):
     e = spark.createDataFrame([], SCHEMA)
     assert history.admit_all(e, e.arrival).count() == 0
