@@ -15,8 +15,9 @@ def upsert(source: DataFrame, backup: DataFrame) -> DataFrame:
 
 def verify(source: DataFrame, backup: DataFrame, critical: str, most_percent: float = 5.0) -> DataFrame:
     """One row: counts, their difference in percent, and the verdict."""
-    count = lambda d, n: d.agg(F.count("*").alias(n), F.count_if(F.col("path") == critical).alias(f"{n}_critical"))
-    j = count(source, "n_source").crossJoin(F.broadcast(count(backup, "n_backup")))  # one row each
+    sides = source.select("path", F.lit(0).alias("side")).unionByName(backup.select("path", F.lit(1).alias("side")))
+    has = lambda side: (F.col("side") == side) & (F.col("path") == critical)
+    j = sides.agg(*(F.count_if(F.col("side") == i).alias(f"n_{n}") for i, n in enumerate(("source", "backup"))), *(F.count_if(has(i)).alias(f"n_{n}_critical") for i, n in enumerate(("source", "backup"))))
     delta = F.abs(F.col("n_source") - F.col("n_backup")) * 100.0 / F.greatest("n_source", F.lit(1))
     verdict = F.when(F.col("n_backup") == 0, "empty").when(F.col("delta_percent") > most_percent, "count_differs").when((F.col("n_source_critical") > 0) & (F.col("n_backup_critical") == 0), "critical_missing").otherwise("ok")
     return j.withColumn("delta_percent", delta).withColumn("verdict", verdict).drop("n_source_critical", "n_backup_critical")

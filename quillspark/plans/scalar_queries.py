@@ -29,9 +29,12 @@ def normalize_literal(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def normalize_life_area(spark: SparkSession, sf: str) -> DataFrame:
-    areas = table(spark, sf, "life_category").agg(F.array_sort(F.collect_list("life_category")).alias("areas"))
+    names = [r[0] for r in table(spark, sf, "life_category").select("life_category").orderBy("life_category").limit(1001).collect()]
+    if len(names) > 1000:
+        raise ValueError("a configured list of areas is short")
+    areas = F.array(*map(F.lit, names))
     c = table(spark, sf, "classification").where("life_area is not null").select("classification_id", "life_area").distinct()
-    return c.crossJoin(F.broadcast(areas)).select("classification_id", "life_area", text.life_area(F.col("life_area"), F.col("areas")).alias("area"))
+    return c.select("classification_id", "life_area", text.life_area(F.col("life_area"), areas).alias("area"))
 
 
 def derive_path(spark: SparkSession, sf: str) -> DataFrame:
