@@ -70,9 +70,10 @@ def fit(degrees: np.ndarray, multiplicity: np.ndarray, sizes: np.ndarray, basket
     """x per distinct item frequency, y per distinct basket size, by fixed-point iteration."""
     total = float((degrees * multiplicity).sum())
     x, y = degrees / np.sqrt(total), sizes / np.sqrt(total)
+    blocks = [slice(i, i + 4096) for i in range(0, len(x), 4096)]  # bounds the memory of the product
     for _ in range(rounds):
-        nx = degrees / (baskets_of * y / (1 + np.outer(x, y))).sum(axis=1)
-        ny = sizes / (multiplicity * nx / (1 + np.outer(y, nx))).sum(axis=1)
+        nx = np.concatenate([degrees[b] / (baskets_of * y / (1 + np.outer(x[b], y))).sum(axis=1) for b in blocks])
+        ny = sizes / sum((multiplicity[b] * nx[b] / (1 + np.outer(y, nx[b]))).sum(axis=1) for b in blocks)
         done = max(np.abs(nx / x - 1).max(), np.abs(ny / y - 1).max()) < tol
         x, y = nx, ny
         if done:
@@ -135,11 +136,13 @@ def surprise(pairs: DataFrame, items: DataFrame, sizes: DataFrame, n_baskets: in
     tests = float(c.sum() * (c.sum() - 1) / 2)
 
     def tail(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        prob = x[:, None] * y[None, :]
-        prob = prob / (1 + prob)
+        def prob(n: pd.Series) -> np.ndarray:
+            xy = x[[place[int(v)] for v in n]][:, None] * y[None, :]
+            return xy / (1 + xy)
+
         for b in batches:
             if len(b):
-                q = prob[[place[int(v)] for v in b.n_a]] * prob[[place[int(v)] for v in b.n_b]]
+                q = prob(b.n_a) * prob(b.n_b)
                 p = np.maximum(upper_tail(b.n_ab.to_numpy(), q, m), P_FLOOR)
                 b = b.assign(expected=(q * m).sum(axis=1), log10_p=p, step=np.ceil(p * P_STEPS).astype("int32"))
                 yield b
