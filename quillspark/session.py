@@ -42,13 +42,23 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + made
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in this application's part of the shared folder."""
+    return f"{shared_dir(spark)}/quillspark-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; call it once results are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quillspark-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df once as parquet in the shared folder and read it back: cuts the
     lineage, survives lost executors, and lets several branches reuse one scan."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = scratch(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

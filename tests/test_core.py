@@ -77,6 +77,19 @@ def test_one_hot_message(spark):
     assert delivery.repeats(rows, delivery.accept_once(rows)).count() == 3000 - 1 + 1  # number 7 also occurs once by itself
 
 
+def test_intermediate_tables_can_be_released(spark):
+    import os
+
+    from quillspark.session import materialise, release, shared_dir
+
+    df = materialise(spark.range(5), "five")
+    assert df.count() == 5
+    folder = f"{shared_dir(spark)}/quillspark-{spark.sparkContext.applicationId}".removeprefix("file://")
+    assert os.listdir(folder)
+    release(spark)
+    assert not os.path.exists(folder)
+
+
 # ---- statistics ------------------------------------------------------------------
 
 
