@@ -191,3 +191,44 @@ def occurrences(text: Column, needle: Column) -> Column:
     """Non-overlapping occurrences of a substring; 0 for an empty needle."""
     n = F.length(needle)
     return F.when(n > 0, ((F.length(text) - F.length(F.replace(text, needle, F.lit("")))) / n).cast("long")).otherwise(0)
+
+
+def pack_paragraphs(c: Column, size: int) -> Column:
+    """Paragraphs joined while they fit `size` characters; a longer one is sliced."""
+    paras = F.flatten(F.transform(F.split(F.coalesce(c, F.lit("")), "\n\n"), lambda p: chunks(p, size)))
+    last = lambda a: F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(""))
+    fits = lambda a, p: (F.size(a) > 0) & (F.length(last(a)) + 2 + F.length(p) <= size)
+    join = lambda a, p: F.when(fits(a, p), F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.concat(last(a), F.lit("\n\n"), p)))).otherwise(F.concat(a, F.array(p)))
+    return F.aggregate(F.filter(paras, lambda p: F.trim(p) != ""), F.array().cast("array<string>"), join)
+
+
+def token_shaped(c: Column) -> Column:
+    """8 to 64 ASCII letters, digits, hyphens and underscores."""
+    return F.coalesce(c.rlike(r"^[A-Za-z0-9_-]{8,64}\z"), F.lit(False))
+
+
+def strip_file_date(name: Column) -> Column:
+    """File name without a leading or trailing ISO date."""
+    return F.regexp_replace(name, r"^\d{4}-\d{2}-\d{2}[-_]|[-_]\d{4}-\d{2}-\d{2}(?=\.[a-z]+$)", "")
+
+
+def summary_of(kind: Column, title: Column, summary: Column, content: Column) -> Column:
+    """One-line summary of an extraction by its kind; credentials have none."""
+    pick = F.when(kind.isin("concept_drop", "life_entry"), title).when(kind.isin("project_update", "query_intent"), summary).when(kind == "personal_log", content)
+    return F.substring(F.coalesce(pick, F.lit("")), 1, SUMMARY_CHARS)
+
+
+def render_page(kind: Column, title: Column, context: Column, summary: Column, content: Column, claims: Column) -> Column:
+    """Page text of an extraction; absent parts leave no line."""
+    heading = F.concat(F.lit("# "), F.coalesce(title, F.lit("untitled")))
+    points = F.concat_ws("\n", F.transform(F.coalesce(claims, F.array().cast("array<string>")), lambda x: F.concat(F.lit("- "), x)))
+    note = F.when(F.length(context) > 0, F.concat(F.lit("_Context: "), context, F.lit("_")))
+    parts = F.array(heading, F.nullif(summary, F.lit("")), F.nullif(content, F.lit("")), F.nullif(points, F.lit("")), note)
+    return F.when(kind == "credential_entry", heading).otherwise(F.concat_ws("\n\n", F.array_compact(parts)))
+
+
+def first_replaced(c: Column, pattern: str, value: str) -> Column:
+    """The first match of a pattern replaced, later ones kept."""
+    at = F.regexp_instr(c, F.lit(pattern))
+    hit = F.regexp_substr(c, F.lit(pattern))
+    return F.when(at > 0, F.concat(F.substr(c, F.lit(1), at - 1), F.lit(value), F.substr(c, at + F.length(hit)))).otherwise(c)

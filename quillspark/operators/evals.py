@@ -84,3 +84,21 @@ def similarity(rows: DataFrame, a: str, b: str, name: str = "similarity") -> Dat
         return pd.Series([SequenceMatcher(None, p or "", q or "").ratio() for p, q in zip(x, y, strict=True)])
 
     return rows.withColumn(name, F.pandas_udf(ratio, "double")(F.col(a), F.col(b)))
+
+
+def request_key(agent: str, model: str, prompt: str, temperature: float) -> str:
+    """First 16 hex digits of the digest of a request in canonical JSON."""
+    import hashlib
+    import json
+
+    body = json.dumps({"agent": agent, "model": model, "prompt": prompt, "temperature": temperature}, sort_keys=True, ensure_ascii=False)
+    return hashlib.sha256(body.encode("utf-8", "surrogatepass")).hexdigest()[:16]
+
+
+def with_keys(requests: DataFrame) -> DataFrame:
+    """requests (agent, model, prompt, temperature, ...) with their key."""
+
+    def keys(agent: pd.Series, model: pd.Series, prompt: pd.Series, temperature: pd.Series) -> pd.Series:
+        return pd.Series([request_key(*r) for r in zip(agent, model, prompt, temperature, strict=True)])
+
+    return requests.withColumn("prompt_hash", F.pandas_udf(keys, "string")("agent", "model", "prompt", "temperature"))

@@ -120,3 +120,28 @@ def fan_out(drops: DataFrame) -> DataFrame:
         row(F.lit("log/decisions.md"), "decision"),
     )
     return drops.where("received_at is not null").select("record_seq", F.explode(F.array_compact(parts)).alias("w")).select("record_seq", "w.path", "w.role")
+
+
+def replace_section(content: Column, heading: str, body: Column) -> Column:
+    """Content with the lines of the section under `heading` replaced, up to the next H2;
+    unchanged if there is no such section."""
+    lines = F.split(content, "\n")
+    at = F.array_position(lines, F.lit(heading)).cast("int")
+    tail = F.slice(lines, at + 1, F.size(lines))
+    stop = F.array_position(F.transform(tail, lambda x: x.startswith("## ")), F.lit(True)).cast("int")
+    rest = F.when(stop > 0, F.slice(tail, F.greatest(stop, F.lit(1)), F.size(tail))).otherwise(F.array().cast("array<string>"))
+    made = F.array_join(F.flatten(F.array(F.slice(lines, 1, at), F.array(body, F.lit("")), rest)), "\n")
+    return F.when(at > 0, made).otherwise(content)
+
+
+def move_page(pages: DataFrame, source: str, target: str, status: str) -> DataFrame:
+    """(path, content): pages of one folder under another, with the first status line changed."""
+    p = pages.where(F.col("path").startswith(source))
+    path = F.concat(F.lit(target), F.substr("path", F.lit(len(source) + 1)))
+    return p.select(path.alias("path"), text.first_replaced(F.col("content"), r"(?m)^status: .*$", f"status: {status}").alias("content"))
+
+
+def with_context(drops: DataFrame, index: DataFrame) -> DataFrame:
+    """Each drop with the newest index row of its page, if any (one row per drop)."""
+    newest = latest(index.select("slug", "entry_id", "summary", "entry_date"), "slug", "entry_date", "entry_id")
+    return drops.join(newest.select("slug", F.col("summary").alias("page_summary")), "slug", "left")
