@@ -151,6 +151,7 @@ def test_history_equals_the_plain_loop(spark):
 def test_large_buckets_are_not_expanded_but_lose_nothing(spark, monkeypatch):
     """Many different near copies share buckets; two texts lead a bucket at a time."""
     monkeypatch.setattr(history, "LEADERS", 2)
+    monkeypatch.setattr(history, "BOUND", 3)
     rng = random.Random(9)
     base = [" ".join(f"w{rng.randrange(40)}" for _ in range(24)) for _ in range(3)]
     rows = []
@@ -161,9 +162,11 @@ def test_large_buckets_are_not_expanded_but_lose_nothing(spark, monkeypatch):
         rows.append((i, "d", rng.choice([None, f"o{rng.randrange(60)}"]), " ".join(w)))
     df = spark.createDataFrame([(*r, 1) for r in rows], SCHEMA)
     assert {tuple(r) for r in history.History(spark).admit(df).collect()} == brute(rows)
-    live = spark.createDataFrame([(1, c, c) for c in range(50)], "key long, cls long, at long")
-    pairs, rest = history.led_pairs(live)
+    live = spark.createDataFrame([(1, c, c) for c in range(50)] + [(2, 1, 1), (2, 2, 2), (3, 9, 9)], "key long, cls long, at long")
+    shared = history.shared_buckets(live)
+    pairs, rest = history.led_pairs(shared, 2)
     assert pairs.count() == 2 * 49 and rest.count() == 48
+    assert [tuple(r) for r in history.all_pairs(shared).collect()] == [(1, 2)]
 
 
 def test_history_of_nothing(spark):
