@@ -319,3 +319,52 @@ def test_page_store(spark, tmp_path):
     mirror.append_jsonl(df(("a", "1")), str(tmp_path / "log"))
     mirror.append_jsonl(df(("b", "1")), str(tmp_path / "log"))
     assert spark.read.json(str(tmp_path / "log")).count() == 2
+
+
+# ---- rewriting and reports -------------------------------------------------------
+
+
+def test_paragraph_packing(spark):
+    f = lambda t: one(spark, lambda c: text.pack_paragraphs(c, 10), t=t)
+    assert f("abc\n\ndef\n\nghijkl") == ["abc\n\ndef", "ghijkl"]
+    assert f("abcdefghijklm\n\nn") == ["abcdefghij", "klm\n\nn"]
+    assert f("") == [] and f(None) == [] and f("\n\n \n\n") == []
+
+
+def test_page_rewriting(spark):
+    f = lambda t: one(spark, lambda c: pages.replace_section(c, "## A", F.lit("new")), t=t)
+    assert f("x\n## A\nold\nold\n## B\ny") == "x\n## A\nnew\n\n## B\ny"
+    assert f("x\n## A\nold") == "x\n## A\nnew\n" and f("x") == "x"
+    p = store(spark, [("projects/a.md", "status: active\nstatus: b", None), ("wiki/b.md", "status: x", None), ("projects/c.md", None, None)])
+    got = {r.path: r.content for r in pages.move_page(p, "projects/", "archive/", "done").collect()}
+    assert got == {"archive/a.md": "status: done\nstatus: b", "archive/c.md": None}
+
+
+def test_names_and_tokens(spark):
+    assert [one(spark, text.token_shaped, t=t) for t in ("abcd-_12", "short", "a b c d e f", "x" * 65, None, "abcdefgh\n")] == [True, False, False, False, False, False]
+    assert [one(spark, text.strip_file_date, t=t) for t in ("2024-01-02-a.md", "a_2024-01-02.md", "a.md")] == ["a.md"] * 3
+    assert one(spark, text.life_area, a="Pet Care!", b=["groceries", "pet-care"]) == "pet-care"
+    assert one(spark, text.life_area, a="", b=["x"]) is None and one(spark, text.life_area, a="zz", b=["x"]) is None
+
+
+def test_request_keys(spark):
+    k = evals.request_key("a", "m", "é", 0.5)
+    assert len(k) == 16 and k != evals.request_key("a", "m", "é", 0.6)
+    df = spark.createDataFrame([("a", "m", "é", 0.5)], "agent string, model string, prompt string, temperature double")
+    assert evals.with_keys(df).first().prompt_hash == k
+
+
+def test_series_and_fan_out(spark):
+    counts = spark.createDataFrame([("a", datetime(2024, 1, 2).date(), 3)], "slug string, day date, n long")
+    f = pages.fill_days(counts, spark.createDataFrame([("a",), ("b",)], "slug string"), "slug", F.lit("2024-01-03").cast("date"), 3)
+    assert sorted((r.slug, str(r.day), r.n) for r in f.collect())[:3] == [("a", "2024-01-01", 0), ("a", "2024-01-02", 3), ("a", "2024-01-03", 0)] and f.count() == 6
+    s = spark.range(1).select(pages.sparkline(F.array(F.lit(0.0), F.lit(2.0))).alias("p")).first()["p"]
+    assert s == "0.0,13.0 70.0,1.0"
+    d = spark.createDataFrame([(1, "wiki", "wiki/a.md", datetime(2024, 1, 2)), (2, "daily_only", None, datetime(2024, 1, 2)), (3, "credential", "life/credentials/x.md", datetime(2024, 1, 2)), (4, "wiki", "w", None)], "record_seq long, target_kind string, target_path string, received_at timestamp")
+    got = {}
+    for r in pages.fan_out(d).collect():
+        got.setdefault(r.record_seq, set()).add(r.role)
+    assert got == {1: {"page", "index", "log", "pointer", "decision"}, 2: {"log", "decision"}, 3: {"page", "log", "decision"}}
+    c = spark.createDataFrame([("s1", "1", "r", "- x"), ("s2", "2", "q", "- about beta"), ("s3", "3", "q", "- alphabet")], "sha string, key string, repo string, line string")
+    p = spark.createDataFrame([("alpha", ["r"]), ("beta", [])], "slug string, repos array<string>")
+    assert sorted((r.slug, r.sha) for r in pages.link_commits(c, p).collect()) == [("alpha", "s1"), ("beta", "s2")]
