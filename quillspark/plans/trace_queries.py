@@ -40,7 +40,7 @@ def latency_by_kind(spark: SparkSession, sf: str) -> DataFrame:
 def nearest_rank_quantile(spark: SparkSession, sf: str) -> DataFrame:
     """Quantiles per slug, so that many small groups are covered."""
     rows = _trace(spark, sf).where("duration_ms >= 0 and slug is not null")
-    return rows.groupBy("slug").agg(F.count("*").alias("n"), *(stats.nearest_rank("duration_ms", q).alias(k) for k, q in stats.QUANTILES.items()))
+    return stats.quantiles(rows, "duration_ms", "slug").select("slug", "n", *stats.QUANTILES)
 
 
 def stage_breakdown(spark: SparkSession, sf: str) -> DataFrame:

@@ -96,10 +96,22 @@ def test_intermediate_tables_can_be_released(spark):
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 10, 20, 100, 101])
 def test_nearest_rank(spark, n):
     df = spark.range(1, n + 1)
-    got = df.agg(*(stats.nearest_rank("id", q).alias(k) for k, q in stats.QUANTILES.items())).first()
+    got = stats.quantiles(df, "id").first()
     assert [got[k] for k in stats.QUANTILES] == [math.ceil(q * n) for q in stats.QUANTILES.values()]
 
 
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.one_of(st.none(), st.integers(0, 5000))), max_size=60))
+def test_quantiles_by_key(spark, rows):
+    df = spark.createDataFrame(rows, "k string, value long")
+    got = {r.k: (r.n, r.p50, r.p95, r.min, r.max) for r in stats.quantiles(df, "value", "k").collect()}
+    want = {}
+    for k in {k for k, v in rows if v is not None}:
+        x = sorted(v for j, v in rows if j == k and v is not None)
+        want[k] = (len(x), x[math.ceil(0.5 * len(x)) - 1], x[math.ceil(0.95 * len(x)) - 1], x[0], x[-1])
+    assert got == want
+
+
 def rows_of(spark, rows):
     return spark.createDataFrame(rows, "ts string, duration_ms double, blocked_reason string, escalated boolean, target_kind string, stage_latency_ms map<string,double>, n long")
 
