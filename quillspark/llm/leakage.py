@@ -3,7 +3,7 @@
 1. Every training text becomes the sequence of its spoken words (no cue numbers,
    timings, markup, speaker labels, sound descriptions), folded so that letter case,
    accents, look-alike and commonly misread characters do not matter.
-2. Postings (term, doc, position) are kept for the terms of the test vocabulary.
+2. Postings (term, doc, position) of the terms of the test vocabulary are stored.
 3. Of each window of `words` test words the `anchors` rarest terms are looked up; a
    posting at position p of an anchor at test position q votes for offset p - q, and
    the offset-adjusted lists are intersected: `votes` anchors must agree on an offset.
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.lookalike import skeleton
-from quillspark.session import BROADCAST_ROWS, materialise
+from quillspark.session import BROADCAST_ROWS, materialise, maybe_broadcast
 
 _TIMING = re.compile(r"^[^\S\n]*(?:(\d+):)?(\d{1,2}):(\d{2})[.,](\d{1,3})[^\S\n]*-{1,2}>.*$", re.M)
 _CUE_NO = re.compile(r"\n[^\S\n]*\d+[^\S\n]*\n*\Z")
@@ -189,14 +189,14 @@ def leaks(docs: DataFrame, tests: DataFrame, doc_id: str, text_col: str, item_id
     vocabulary = t.select(F.explode(F.split("words", "[ _]")).alias("term")).distinct()
     small = vocabulary.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     s = materialise(spoken_table(docs, doc_id, text_col), "leak-spoken")
-    p = postings(s, vocabulary, small)
+    p = materialise(postings(s, vocabulary, small), "leak-postings")
     df = materialise(p.groupBy("term").agg(F.count("*").alias("n")), "leak-df")
     a = anchors(t, df, words, n_anchors)
     looked = F.broadcast(a) if a.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else a
     # intersect the offset-adjusted lists: an offset needs the votes of several anchors
     hits = p.join(looked, "term").groupBy("doc", "reading", "item", (F.col("pos") - F.col("q")).alias("offset")).agg(F.count("*").alias("v"))
-    found = hits.where(F.col("v") >= votes).drop("v")
-    cols = found.join(s, ["doc", "reading"]).join(t.withColumnRenamed("words", "test"), "item").select("doc", "item", "offset", "words", "test")
+    found = maybe_broadcast(materialise(hits.where(F.col("v") >= votes).drop("v"), "leak-found"))
+    cols = s.join(found, ["doc", "reading"]).join(t.withColumnRenamed("words", "test"), "item").select("doc", "item", "offset", "words", "test")
     kind = dict(cols.dtypes)
     runs = cols.mapInPandas(_verify, f"doc {kind['doc']}, item {kind['item']}, run int, start int").where(F.col("run") >= words)
     return runs.groupBy("doc", "item").agg(F.max(F.struct("run", (-F.col("start")).alias("s"))).alias("m")).select("doc", "item", F.col("m.run").alias("run"), (-F.col("m.s")).alias("start"))
