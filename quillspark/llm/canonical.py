@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.session import maybe_broadcast
+from quillspark.session import materialise, maybe_broadcast
 
 #: Least Jaccard of whole forms, of consonant forms, of truncated forms and of letter bags.
 THRESHOLD = {"w": 0.4, "c": 0.75, "t": 0.8, "l": 0.84}
@@ -99,8 +99,8 @@ def _prefixes(ordered: DataFrame, keep: list[str]) -> DataFrame:
 def match(values: DataFrame, entries: DataFrame) -> DataFrame:
     """values (value) distinct, entries (entry, name): (value, entry, score) of the best
     entry of each value that has one."""
-    v = _records(values, "value", value_forms, ["value"])
-    e = _records(entries, "name", entry_forms, ["entry"]).distinct()
+    v = materialise(_records(values, "value", value_forms, ["value"]), "canonical-values")
+    e = materialise(_records(entries, "name", entry_forms, ["entry"]).distinct(), "canonical-entries")
     rank = v.select(F.explode("grams").alias("gram")).unionAll(e.select(F.explode("grams").alias("gram"))).groupBy("gram").agg(F.count("*").alias("freq"))
     rank = maybe_broadcast(rank)
     vp = _prefixes(_ordered(v, rank, ["value"]), ["value"])
