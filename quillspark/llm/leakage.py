@@ -160,24 +160,48 @@ def _near(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:]
 
 
-def longest_run(doc: list[str], test: str, offset: int) -> tuple[int, int]:
-    """Most whole words of the test item in one run of agreeing parts on the diagonal, and
-    the number of the first of them."""
-    best = at = run = q = 0
-    for number, word in enumerate(test.split(" ")):
-        parts = word.split("_")
-        whole = all(0 <= q + i + offset < len(doc) and _near(doc[q + i + offset], p) for i, p in enumerate(parts))
-        run = run + 1 if whole else 0
-        if run > best:
-            best, at = run, number - run + 1
-        q += len(parts)
-    return best, at
+class _Parsed(dict):
+    """Words of a test item as (place of the first part, parts); forgets all when it holds too many."""
+
+    def __missing__(self, test: str) -> list[tuple[int, list[str]]]:
+        if len(self) >= 1 << 14:
+            self.clear()
+        out, q = [], 0
+        for word in test.split(" "):
+            parts = word.split("_")
+            out.append((q, parts))
+            q += len(parts)
+        self[test] = out
+        return out
+
 
+_PARSED = _Parsed()
 
-def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        runs = [longest_run(d.split(" "), t, o) for d, t, o in zip(b.words, b.test, b.offset, strict=True)]
-        yield b[["doc", "item"]].assign(run=[r for r, _ in runs], start=[s for _, s in runs])
+
+def longest_run(doc: list[str], test: str, offset: int, least: int) -> tuple[int, int]:
+    """Most whole words of the test item in one run of agreeing parts on the diagonal, and
+    the number of the first of them; (0, 0) if no run has `least` words. A run that long
+    holds every least-th word, so only those are looked at until one agrees."""
+    words, n = _PARSED[test], len(doc)
+
+    def agrees(k: int) -> bool:
+        q, parts = words[k]
+        q += offset
+        return 0 <= q and q + len(parts) <= n and all(_near(doc[q + i], p) for i, p in enumerate(parts))
+
+    best, at, k = 0, 0, least - 1
+    while k < len(words):
+        if agrees(k):
+            lo = hi = k
+            while lo > 0 and agrees(lo - 1):
+                lo -= 1
+            while hi + 1 < len(words) and agrees(hi + 1):
+                hi += 1
+            if hi - lo + 1 >= max(least, best + 1):
+                best, at = hi - lo + 1, lo
+            k = hi
+        k += least
+    return best, at
 
 
 def leaks(docs: DataFrame, tests: DataFrame, doc_id: str, text_col: str, item_id: str, item_text: str, words: int = 13, n_anchors: int = 3, votes: int = 2) -> DataFrame:
@@ -198,5 +222,12 @@ def leaks(docs: DataFrame, tests: DataFrame, doc_id: str, text_col: str, item_id
     found = maybe_broadcast(materialise(hits.where(F.col("v") >= votes).drop("v"), "leak-found"))
     cols = s.join(found, ["doc", "reading"]).join(t.withColumnRenamed("words", "test"), "item").select("doc", "item", "offset", "words", "test")
     kind = dict(cols.dtypes)
-    runs = cols.mapInPandas(_verify, f"doc {kind['doc']}, item {kind['item']}, run int, start int").where(F.col("run") >= words)
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            runs = [longest_run(d.split(" "), t, o, words) for d, t, o in zip(b.words, b.test, b.offset, strict=True)]
+            out = b[["doc", "item"]].assign(run=[r for r, _ in runs], start=[s for _, s in runs])
+            yield out[out.run >= words]
+
+    runs = cols.mapInPandas(verify, f"doc {kind['doc']}, item {kind['item']}, run int, start int")
     return runs.groupBy("doc", "item").agg(F.max(F.struct("run", (-F.col("start")).alias("s"))).alias("m")).select("doc", "item", F.col("m.run").alias("run"), (-F.col("m.s")).alias("start"))

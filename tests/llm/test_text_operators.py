@@ -83,7 +83,7 @@ def test_fold_joins_misread_words():
 
 def test_words_count_as_written():
     w = leakage.test_words("write to a.b@post.example.org - or 345.555.0122, not later")
-    assert len(w.split()) == 7 and leakage.longest_run(w.replace("_", " ").split(), w, 0) == (7, 0)
+    assert len(w.split()) == 7 and leakage.longest_run(w.replace("_", " ").split(), w, 0, 1) == (7, 0)
 
 
 def test_wrong_decoding_is_undone():
@@ -118,12 +118,25 @@ def test_leaks_equal_brute_force(spark):
         for k, x in tests:
             w = leakage.test_words(x or "")
             if t and len(w.split()) >= 13:
-                best = max(leakage.longest_run(s, w, o)[0] for s in leakage.spoken(t) for o in range(-len(w), len(s) + 1))
+                best = max(leakage.longest_run(s, w, o, 1)[0] for s in leakage.spoken(t) for o in range(-len(w), len(s) + 1))
                 if best >= 13:
                     want[d, k] = best
     assert got == want and want
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["aa", "bb", "cc_dd"]), min_size=1, max_size=12), st.lists(st.sampled_from(["aa", "bb", "cc", "dd"]), max_size=20), st.integers(-12, 12), st.integers(1, 5))
+def test_longest_run_equals_a_plain_walk(words, doc, offset, least):
+    best = run = q = 0
+    for w in words:
+        parts = w.split("_")
+        ok = all(0 <= q + i + offset < len(doc) and doc[q + i + offset] == p for i, p in enumerate(parts))
+        run = run + 1 if ok else 0
+        best, q = max(best, run), q + len(parts)
+    got, at = leakage.longest_run(doc, " ".join(words), offset, least)
+    assert got == (best if best >= least else 0)
+
+
 def test_leaks_of_nothing(spark):
     e = spark.createDataFrame([], "doc_id long, text string")
     t = spark.createDataFrame([("a", " ".join(WORDS))], "id string, text string")
