@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.session import materialise
+
 #: 2**30 microseconds, about 18 minutes, per block of a producer's numbers.
 BLOCK_BITS = 30
 WELL_FORMED = "^[0-9a-f]{12}$"
@@ -127,7 +129,7 @@ def replay(msgs: DataFrame, cut: Column) -> DataFrame:
     """Accepted copies of two successive deliveries: rows before `cut` (boolean), then
     the rest against the ranges the first left. As deliveries are in received order,
     the earliest copy of every message is the accepted one."""
-    early = accept_once(msgs.where(F.coalesce(cut, F.lit(False))))
+    early = materialise(accept_once(msgs.where(F.coalesce(cut, F.lit(False)))), "delivery-early")
     late = accept_once(msgs.where(~F.coalesce(cut, F.lit(False))), remember(early))
     return early.unionByName(late)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators import delivery
+from quillspark.session import materialise
 from quillspark.sources.tables import table
 
 #: The trace is replayed as two deliveries, split here; any split gives the same rows.
@@ -13,7 +14,8 @@ SPLIT = "2023-12-17 00:00:00"
 
 
 def _msgs(spark: SparkSession, sf: str) -> DataFrame:
-    return delivery.messages(table(spark, sf, "pipeline_record"))
+    """The messages of the trace, parsed once: every later step reads four narrow columns."""
+    return materialise(delivery.messages(table(spark, sf, "pipeline_record")), "delivery-messages")
 
 
 def _early():
