@@ -197,8 +197,13 @@ def p8_leak_runs(spark: SparkSession, sf: str) -> DataFrame:
 # ---- 9: look-alike texts ---------------------------------------------------------
 
 
+def _looks(spark: SparkSession, sf: str) -> DataFrame:
+    """Digests of all texts, made in one pass and kept: 32 bytes a document."""
+    return materialise(lookalike.look_keys(_t(spark, sf, "documents")), "look-keys")
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
-    found = lookalike.pairs(lookalike.look_keys(_t(spark, sf, "documents")))
+    found = lookalike.pairs(_looks(spark, sf))
     return found.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
@@ -207,7 +212,7 @@ def p9_normalized(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_classes(spark: SparkSession, sf: str) -> DataFrame:
-    return lookalike.classes(lookalike.look_keys(_t(spark, sf, "documents"))).withColumnRenamed("id", "doc_id")
+    return lookalike.classes(_looks(spark, sf)).withColumnRenamed("id", "doc_id")
 
 
 QUERIES = {
