@@ -69,7 +69,7 @@ def drop_id(c: Column) -> Column:
 
 
 def snippet(c: Column, limit: int = SNIPPET_CHARS) -> Column:
-    return F.when(F.length(c) > limit, F.concat(F.rtrim(F.substring(c, 1, limit)), F.lit("…"))).otherwise(c)
+    return F.when(F.length(c) > limit, F.concat(F.regexp_replace(F.substring(c, 1, limit), r"(?U)\s+\z", ""), F.lit("…"))).otherwise(c)
 
 
 def split_tldr(c: Column) -> Column:

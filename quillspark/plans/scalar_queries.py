@@ -362,7 +362,7 @@ SELECT classification_id, life_area, CASE WHEN life_area = '' THEN NULL WHEN lis
  WHEN 'life' THEN CASE WHEN length(life_area) > 0 THEN 'life/' || {slug_sql('life_area')} || '.md' ELSE '' END WHEN 'wiki' THEN 'wiki/' || {slug_sql('slug')} || '.md'
  WHEN 'credential' THEN 'life/credentials/' || {slug_sql('slug')} || '.md' ELSE '' END AS path FROM classification""",
     "drop_id": "SELECT doc_id, substr(sha256(text), 1, 12) AS drop_id FROM documents WHERE text IS NOT NULL",
-    "truncate_snippet": "SELECT doc_id, CASE WHEN length(text) > 2000 THEN rtrim(substr(text, 1, 2000)) || '…' ELSE text END AS snippet FROM documents",
+    "truncate_snippet": "SELECT doc_id, CASE WHEN length(text) > 2000 THEN regexp_replace(substr(text, 1, 2000), '[\\s\\p{Z}]+$', '') || '…' ELSE text END AS snippet FROM documents",
     "split_tldr": """WITH e AS (SELECT extraction_id, trim(concat_ws('. ', title, summary)) AS s FROM extraction WHERE summary IS NOT NULL),
 p AS (SELECT *, length(regexp_extract(s, '^(.*?[.?!])\\s', 1)) AS n FROM e)
 SELECT extraction_id, CASE WHEN n > 0 THEN trim(substr(s, 1, n)) ELSE s END AS tldr, CASE WHEN n > 0 THEN trim(substr(s, n + 1)) ELSE '' END AS rest FROM p""",
