@@ -267,13 +267,25 @@ def _pointer_lines(spark: SparkSession, sf: str) -> DataFrame:
     return i.select(text.memory_line(path, F.coalesce("summary", F.lit("")), F.lit("high")).alias("line"))
 
 
-def tag_peers_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """Query pages are those whose newest entry number is divisible by 100, against all."""
+def _tagged(spark: SparkSession, sf: str) -> DataFrame:
+    """(slug, entry_id, tags): the newest tagged entry of each page."""
     i = table(spark, sf, "index_entry").where("size(tags) > 0").select("slug", "entry_id", "tags", "entry_date")
-    newest = pages.latest(i, "slug", "entry_date", "entry_id").select("slug", "entry_id", "tags")
+    return pages.latest(i, "slug", "entry_date", "entry_id").select("slug", "entry_id", "tags")
+
+
+def tag_peers_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Query pages are those whose newest entry number is divisible by 100, against all: a
+    sample, of one page at scale 0.1. tag_peers_all is the whole job."""
+    newest = _tagged(spark, sf)
     return pages.tag_peers(newest.where("entry_id % 100 = 0"), newest)
 
 
+def tag_peers_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page against all others."""
+    newest = _tagged(spark, sf)
+    return pages.tag_peers(newest, newest)
+
+
 def commits_for_project(spark: SparkSession, sf: str) -> DataFrame:
     """Every third nation watches a repository; the others are found by name."""
     c = _commits(spark, sf).withColumn("line", F.concat(F.lit("- `"), "sha", F.lit("` "), "message", F.lit(" nation_"), (F.col("o_orderkey") % 25).cast("string")))
@@ -403,7 +415,7 @@ QUERIES = {
         commit_lines_ffill, section_parse, queue_claimable_anti, raw_path_collisions, writer_fanout, index_upsert, backlink_insert,
         board_merge, archival_sweep, mirror_upsert, mirror_verify, harvest_fresh_anti, accept_semi, rollback_filter, search_scope,
         since_filter, grep_fixed, grep_regex, search_wiki, query_life, pending_live, cooldown_accepts, broken_wikilinks,
-        orphan_pointers, tag_peers_topk, commits_for_project, mentions_per_day, sparkline_points, mention_totals, drift_diff,
+        orphan_pointers, tag_peers_topk, tag_peers_all, commits_for_project, mentions_per_day, sparkline_points, mention_totals, drift_diff,
         ablation_divergence, cassette_replay, cassette_usage, json_deep_diff, lookup_with_fallback, tag_cloud, commit_digest,
         onboarding_distinct, lint_summary, weekly_context, index_regenerate, escalation_two_pass,
     )
@@ -498,6 +510,11 @@ SELECT n_source, n_backup, abs(n_source - n_backup) * 100.0 / greatest(n_source,
  FROM index_entry WHERE len(tags) > 0) WHERE r = 1),
 t AS (SELECT DISTINCT slug, entry_id, unnest(tags) AS tag FROM i),
 h AS (SELECT a.slug, b.slug AS peer, count(*) AS overlap FROM t a JOIN t b ON a.tag = b.tag AND a.slug <> b.slug WHERE a.entry_id % 100 = 0 GROUP BY ALL)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY slug ORDER BY overlap DESC, peer) AS INT) AS place FROM h) WHERE place <= 5""",
+    "tag_peers_all": """WITH i AS (SELECT slug, tags FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY entry_date DESC NULLS LAST, entry_id DESC) AS r
+ FROM index_entry WHERE len(tags) > 0) WHERE r = 1),
+t AS (SELECT DISTINCT slug, unnest(tags) AS tag FROM i),
+h AS (SELECT a.slug, b.slug AS peer, count(*) AS overlap FROM t a JOIN t b ON a.tag = b.tag AND a.slug <> b.slug GROUP BY ALL)
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY slug ORDER BY overlap DESC, peer) AS INT) AS place FROM h) WHERE place <= 5""",
     "commits_for_project": f"""WITH {COMMITS_SQL}, p AS (SELECT n_nationkey AS k, 'nation_' || n_nationkey AS slug FROM nation)
 SELECT slug, o_orderkey, sha FROM p JOIN c ON CASE WHEN k % 3 = 0 THEN repo = ['automobile', 'building', 'furniture', 'household', 'machinery'][CAST(k % 5 + 1 AS INT)] ELSE o_orderkey % 25 = k END""",
