@@ -13,9 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quillspark.operators import delivery
 from quillspark.operators.delivery import BLANKS, instant
 from quillspark.operators.mirror import PageStore
 
+SEEN_SCHEMA = "producer string, block long, lo long, hi long, key long"
+ACCEPTED_SCHEMA = "producer string, number long, received_at timestamp, record_seq long"
+
 
 def queue_stream(spark: SparkSession, folder: str, per_trigger: int = 1000) -> DataFrame:
     """Queue files queue-<digits>-<id>.md as (name, text, captured), each once: the
@@ -31,16 +35,42 @@ def trace_stream(spark: SparkSession, folder: str, schema) -> DataFrame:
     return t.withColumn("at", instant(F.col("ts"))).where("at is not null")
 
 
-def daily_counts(traces: DataFrame, late: str = "7 days") -> DataFrame:
-    """Runs per day of the run; days older than the watermark are final."""
-    d = traces.withWatermark("at", late).groupBy(F.window("at", "1 day").alias("w"))
+def _bounded(traces: DataFrame, late: str | None) -> DataFrame:
+    return traces if late is None else traces.withWatermark("at", late)
+
+
+def daily_counts(traces: DataFrame, late: str | None = None) -> DataFrame:
+    """Runs per day of the run. All runs count, however late, in update and complete mode;
+    with `late` (which append mode needs) days older than that are final, and runs that
+    come later than that are lost."""
+    d = _bounded(traces, late).groupBy(F.window("at", "1 day").alias("w"))
     return d.agg(F.count("*").alias("runs"), F.count_if(F.length("blocked_reason") > 0).alias("blocked")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "runs", "blocked")
 
 
-def delivered_once(traces: DataFrame, late: str = "7 days") -> DataFrame:
-    """First copy of each run; copies within the watermark are dropped."""
+def delivered_once(traces: DataFrame, late: str | None = None) -> DataFrame:
+    """One copy of each run, of the first trigger that holds one. The state has the exact key
+    of every run and only grows; with `late` it is bounded to that time, and runs that come
+    later than that are lost, their first copies too. to_accepted keeps ranges instead."""
     p = traces.withColumn("producer", F.lower(F.trim(F.col("drop_id"), F.lit(BLANKS)))).where("producer is not null")
-    return p.withWatermark("at", late).dropDuplicatesWithinWatermark(["producer", "at"])
+    return p.dropDuplicates(["producer", "at"]) if late is None else _bounded(p, late).dropDuplicatesWithinWatermark(["producer", "at"])
+
+
+def to_accepted(traces: DataFrame, folder: str, checkpoint: str, trigger: dict) -> StreamingQuery:
+    """Write the accepted copy of each message (see delivery.accept_once), however late it
+    comes, to folder/accepted/batch=<id>. The seen ranges and keys after each batch lie in
+    folder/seen, where the last two are kept, so that a repeated batch starts from the same
+    ones. Every batch rewrites them. Folder and checkpoint belong together."""
+
+    def accept(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        seen = spark.read.schema(SEEN_SCHEMA).parquet(f"{folder}/seen/{batch_id - 1}") if batch_id else None
+        delivery.accept_once(delivery.messages(batch), seen).write.mode("overwrite").parquet(f"{folder}/accepted/batch={batch_id}")
+        kept = spark.read.schema(ACCEPTED_SCHEMA).parquet(f"{folder}/accepted/batch={batch_id}")
+        delivery.remember(kept, seen).write.mode("overwrite").parquet(f"{folder}/seen/{batch_id}")
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/seen/{batch_id - 2}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+
+    return traces.writeStream.foreachBatch(accept).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def cooldown(calls: DataFrame, key: str, micros: str, seconds: float) -> DataFrame:
