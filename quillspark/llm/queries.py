@@ -163,11 +163,11 @@ def p5_masked(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    """The table admitted year by year, each batch against the index of those before."""
+    """The table admitted in its own batches, one per harvest, each against the index of those before."""
     rows = _t(spark, sf, "harvested_fixture").select(
         F.col("fixture_no").alias("no"), F.col("source_harvest_id").alias("arrival"), F.col("source_drop_id").alias("origin"), F.col("input.text").alias("text")
     )
-    return history.admit_all(rows, F.substring("arrival", 1, 4))
+    return history.admit_all(rows, F.col("arrival"))
 
 
 # ---- 7: containers ---------------------------------------------------------------
