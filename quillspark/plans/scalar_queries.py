@@ -223,7 +223,8 @@ def scrub_date(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scrub_chain(spark: SparkSession, sf: str) -> DataFrame:
-    """Mail, telephone, money and date rules in order (texts without URLs)."""
+    """Mail, telephone, money and date rules in order, the part of the chain that SQL can
+    follow; the whole chain is scrub_full."""
     c = F.regexp_replace("content", r"[.](?=[A-Za-z])", ". ")
     return _personal(spark, sf).select("extraction_id", scrub.iso_date(scrub.money(scrub.phone(scrub.email(F.col("content"))))).alias("out"), scrub.residual_secret(c).alias("secret"))
 
