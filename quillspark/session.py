@@ -3,9 +3,11 @@ intermediate tables go, and whether a side is small enough to broadcast."""
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,15 +44,37 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + made
 
 
+_open: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in this application's part of the shared folder."""
-    return f"{shared_dir(spark)}/quillspark-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/quillspark-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    for made in _open[-1:]:
+        made.append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end the intermediate tables that are made inside; what is returned
+    from inside must not read them any more."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            delete(spark, path)
 
 
 def release(spark: SparkSession) -> None:
     """Delete all intermediate tables of this application; call it once results are written."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quillspark-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, f"{shared_dir(spark)}/quillspark-{spark.sparkContext.applicationId}")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
