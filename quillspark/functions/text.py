@@ -72,6 +72,32 @@ def snippet(c: Column, limit: int = SNIPPET_CHARS) -> Column:
     return F.when(F.length(c) > limit, F.concat(F.regexp_replace(F.substring(c, 1, limit), r"(?U)\s+\z", ""), F.lit("…"))).otherwise(c)
 
 
+#: Fixed value: what follows a text that was cut.
+CUT_NOTICE = "…\n[truncated — full text in raw/]"
+
+
+def pipeline_snippet(text: Column, url: Column, source: Column, limit: int = SNIPPET_CHARS) -> Column:
+    """What is added to a drop for a URL in it: a header that names it, then the text without
+    outer white space, cut at `limit` with a notice."""
+    t = F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+    cut = F.concat(F.regexp_replace(F.substring(t, 1, limit), r"(?U)\s+\z", ""), F.lit(CUT_NOTICE))
+    return F.concat(F.lit("\n\n[Extracted from "), url, F.lit(" ("), source, F.lit(")]\n"), F.when(F.length(t) > limit, cut).otherwise(t))
+
+
+#: Facts of a source in the order in which its raw page lists them.
+RAW_FACTS = ("authors", "channel", "duration", "upload_date", "published", "citations", "categories")
+
+
+def raw_markdown(text: Column, title: Column, source: Column, url: Column, extracted: Column, method: Column, warning: Column, facts: Column) -> Column:
+    """Full page of the raw tier: title, source lines, the known facts that are there (a map
+    of text), then the whole text, never cut."""
+    line = lambda k, v: F.concat(F.lit(f"- {k}: "), v)
+    head = [F.concat(F.lit("# "), F.coalesce(F.nullif(title, F.lit("")), url)), F.lit(""), line("Source", source), line("URL", url), line("Extracted", extracted), line("Method", method)]
+    noted = F.when(F.length(warning) > 0, line("Warning", warning))
+    known = [line(k, F.try_element_at(facts, F.lit(k))) for k in RAW_FACTS]
+    return F.concat_ws("\n", *head, noted, F.lit(""), *known, F.lit(""), F.lit("---"), F.lit(""), text)
+
+
 def split_tldr(c: Column) -> Column:
     """Struct (tldr, rest): the first sentence and what follows it."""
     s = F.trim(F.coalesce(c, F.lit("")))
@@ -79,6 +105,11 @@ def split_tldr(c: Column) -> Column:
     return F.when(at > 0, F.struct(F.trim(F.substr(s, F.lit(1), at)).alias("tldr"), F.trim(F.substr(s, at + 1)).alias("rest"))).otherwise(F.struct(s.alias("tldr"), F.lit("").alias("rest")))
 
 
+# The first line of a conventional commit, and the heading of each type in a digest.
+COMMIT_LABELS = {
+    "feat": "Features", "fix": "Fixes", "perf": "Performance", "refactor": "Refactors", "test": "Tests", "docs": "Docs",
+    "build": "Build", "ci": "CI", "chore": "Chores", "style": "Style", "revert": "Reverts", "other": "Other",
+}
 COMMIT_RE = r"(?i)^(feat|fix|docs|chore|refactor|test|style|perf|build|ci|revert)(\([^)]*\))?(!)?:\s*(.+)$"
 
 
@@ -158,6 +189,16 @@ def calendar_url(base: str, title: Column, start: Column, end: Column, details:
     return F.when((F.length(full) > most) & (room > 0), link(F.concat(F.substr(details, F.lit(1), room), F.lit("…")))).otherwise(full)
 
 
+def html_text(c: Column) -> Column:
+    """Readable text of a page: scripts, styles, comments and tags become blanks, the common
+    entities characters; runs of blanks and of empty lines are joined, the ends trimmed."""
+    for gone in (r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?s)<!--.*?-->", r"(?s)<[A-Za-z/!][^>]*>"):
+        c = F.regexp_replace(c, gone, " ")
+    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(entity), F.lit(char))
+    return F.trim(F.regexp_replace(F.regexp_replace(c, r"[ \t\r]+", " "), r" ?\n[ \n]*", "\n"), F.lit(" \n"))
+
+
 def chunks(c: Column, size: int) -> Column:
     """Fixed-size slices that join to the whole."""
     n = F.greatest(F.lit(1), F.ceil(F.length(c) / size)).cast("int")
@@ -170,6 +211,11 @@ def printable_ok(c: Column, least: int = 100, share: float = 0.85) -> Column:
     return (F.length(c) >= least) & (1 - bad / F.greatest(F.length(c), F.lit(1)) >= share)
 
 
+def ladder(*tiers: tuple[Column, int, str], default: str = "none") -> Column:
+    """Name of the first extraction tier (text, least characters, name) that is long enough."""
+    return F.coalesce(*(F.when(F.length(c) >= least, name) for c, least, name in tiers), F.lit(default))
+
+
 def schema_route(kind: Column, drop_type: Column) -> Column:
     case = F.lit("personal_log")
     for k, v in reversed(SCHEMA_OF_TYPE.items()):
@@ -227,6 +273,95 @@ def render_page(kind: Column, title: Column, context: Column, summary: Column, c
     return F.when(kind == "credential_entry", heading).otherwise(F.concat_ws("\n\n", F.array_compact(parts)))
 
 
+def wiki_page(title: Column, summary: Column, claims: Column, url: Column, source: Column, domain: Column, day: Column) -> Column:
+    """Page of a concept: title, first sentence as a quotation, key points, the rest of the
+    summary, the source, and an empty Related section at the end, where links are added.
+    Parts without content are left out."""
+    s = split_tldr(summary)
+    points = F.when(F.size(claims) > 0, F.concat(F.lit("## Key points\n\n"), F.array_join(F.transform(claims, lambda x: F.concat(F.lit("- "), x)), "\n"), F.lit("\n")))
+    lines = F.concat_ws(
+        "\n",
+        F.concat(F.lit("- **URL**: <"), url, F.lit(">")),
+        F.when(F.length(domain) > 0, F.concat(F.lit("- **Domain**: `"), domain, F.lit("`"))),
+        F.concat(F.lit("- **Type**: "), source),
+        F.concat(F.lit("- **Accessed**: "), day),
+    )
+    return F.concat_ws(
+        "\n",
+        F.concat(F.lit("# "), title, F.lit("\n")),
+        F.when(F.length(s["tldr"]) > 0, F.concat(F.lit("> "), s["tldr"], F.lit("\n"))),
+        points,
+        F.when(F.length(s["rest"]) > 0, F.concat(F.lit("## Overview\n\n"), s["rest"], F.lit("\n"))),
+        F.when(F.length(url) > 0, F.concat(F.lit("## Source\n\n"), lines, F.lit("\n"))),
+        F.lit("## Related\n"),
+    )
+
+
+def project_page(name: Column, progress: Column, status: Column, deadline: Column, blocked_by: Column) -> Column:
+    point = lambda k, v: F.when(F.length(v) > 0, F.concat(F.lit(f"- **{k}:** "), v))
+    first = F.concat(F.lit("- **Progress:** "), F.coalesce(progress, F.lit("")))
+    return F.concat(F.concat_ws("\n", F.concat(F.lit("# "), name), F.lit(""), first, point("Status", status), point("Deadline", deadline), point("Blocker", blocked_by)), F.lit("\n"))
+
+
+def life_entry(at: Column, title: Column, slug: Column, content: Column, context: Column) -> Column:
+    """Entry that is added to the page of a life area."""
+    note = F.when(F.length(context) > 0, F.concat(F.lit("\n_Context: "), context, F.lit("_")))
+    head = F.concat(F.lit("## "), at, F.lit(" — "), F.coalesce(F.nullif(title, F.lit("")), slug))
+    return F.concat(F.concat_ws("\n", head, F.lit(""), F.regexp_replace(content, r"(?U)\s+\z", ""), note), F.lit("\n"))
+
+
+def credential_page(label: Column, body: Column) -> Column:
+    return F.concat(F.lit("# "), label, F.lit("\n\n"), body, F.lit("\n"))
+
+
+def personal_page(content: Column, context: Column) -> Column:
+    """Body of a thought that belongs to no page of its own."""
+    note = F.when(F.length(context) > 0, F.concat(F.lit("\n_Context: "), context, F.lit("_\n"))).otherwise("")
+    return F.concat(F.regexp_replace(content, r"(?U)\s+\z", ""), F.lit("\n"), note)
+
+
+def query_page(question: Column, scope: Column) -> Column:
+    return F.concat(F.lit("Query: "), question, F.lit("\nscope: "), scope, F.lit("\n"))
+
+
+def decision_entry(at: Column, drop_type: Column, kind: Column, slug: Column, confidence: Column, writes: Column, reason: Column) -> Column:
+    """Log entry of one decision; a credential shows neither its slug nor its pages."""
+    secret = kind == "credential"
+    shown = F.transform(writes, lambda w: F.when(w.startswith("life/credentials/"), "life/credentials/(redacted)").otherwise(w))
+    parts = (
+        F.lit("\n## "), at, F.lit("\nPipeline: "), drop_type, F.lit("\nTarget: "), kind, F.lit(" / slug="), F.when(secret, "(redacted)").otherwise(slug),
+        F.lit("\nPath: orchestrator → classifier → extractor → verifier → writer\nConfidence: "), confidence, F.lit("\nWrites: "), F.array_join(shown, ", "),
+        F.lit("\nReasoning: "), reason, F.lit("\n"),
+    )
+    return F.concat(*parts)
+
+
+def commit_message(kind: Column, drop_type: Column, path: Column, slug: Column, who: str) -> Column:
+    """Message of the commit of one drop, after the name of the committing service; a
+    credential is not named."""
+    leaf = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.md$", "")
+    name = F.substring(F.when(F.length(path) > 0, leaf).otherwise(slug), 1, 40)
+    return F.when(kind == "credential", f"{who}: credential (redacted)").otherwise(F.concat(F.lit(f"{who}: "), drop_type, F.lit(" — "), name))
+
+
+def run_log(job: Column, day: Column, started: Column, seconds: Column, ok: Column, error: Column, extra: Column) -> Column:
+    """Page of one run of a job; `extra` (name, value) pairs follow in their order."""
+    more = F.transform(extra, lambda x: F.concat(x["name"], F.lit(": "), x["value"]))
+    return F.concat(
+        F.concat_ws(
+            "\n",
+            F.concat(F.lit("# "), job, F.lit(" — "), day),
+            F.lit(""),
+            F.concat(F.lit("started_at: "), started),
+            F.concat(F.lit("duration_s: "), F.format_string("%.2f", seconds)),
+            F.concat(F.lit("ok: "), F.when(ok, "True").otherwise("False")),
+            F.when(~ok, F.concat(F.lit("error: "), F.coalesce(error, F.lit("")))),
+            F.nullif(F.array_join(more, "\n"), F.lit("")),
+        ),
+        F.lit("\n"),
+    )
+
+
 def first_replaced(c: Column, pattern: str, value: str) -> Column:
     """The first match of a pattern replaced, later ones kept."""
     at = F.regexp_instr(c, F.lit(pattern))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The shape of a URL in text, file types of attachments and the host names of each source.
 URL_RE = r"(?i)https?://[^\s<>()\[\]{}\"']+[^\s<>()\[\]{}\"'.,;:!?]"
-# File types of attachments and the host names of each source.
 PDF_MIMES = ("application/pdf", "application/x-pdf")
 HWP_MIMES = ("application/vnd.hancom.hwp", "application/x-hwp", "application/haansofthwp", "application/vnd.hancom.hwpx")
 OFFICE_MIMES = (
@@ -19,6 +19,12 @@ HWP_EXTS = (".hwp", ".hwpx")
 OFFICE_EXTS = (".docx", ".xlsx", ".pptx", ".doc", ".xls", ".ppt")
 TEXT_EXTS = (".txt", ".md", ".markdown", ".csv", ".tsv", ".json", ".yaml", ".yml", ".log", ".rst", ".ini", ".toml", ".xml")
 METADATA_HOSTS = ("metadata.google.internal", "metadata", "instance-data")
+# IPv4 networks that are private, local, reserved or multicast, and the shared one.
+PRIVATE_V4 = (
+    "0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16",
+    "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4",
+)
+BLOCKED_V4 = ("100.64.0.0/10",)
 VIDEO = ("youtube.com/watch", "youtu.be/", "youtube.com/shorts/")
 ARXIV = ("arxiv.org/abs/", "arxiv.org/pdf/")
 SOCIAL = ("instagram.com", "instagr.am", "tiktok.com", "vm.tiktok.com")
@@ -110,19 +116,39 @@ def safe_url(url: Column) -> Column:
     host, cloud metadata names, literal private, loopback, link-local, shared, multicast
     and reserved IPv4 addresses. Names are not resolved."""
     scheme = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
-    host = F.regexp_replace(F.regexp_replace(authority(url), r"^.*@", ""), r":\d+$", "")
-    quad = host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
-    o = F.split(host, r"\.")
-    a, b = o[0].try_cast("int"), F.try_element_at(o, F.lit(2)).try_cast("int")
-    private = (
-        a.isin(0, 10, 127) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)) | (a >= 224)
-    )
+    place = F.regexp_replace(authority(url), r"^.*@", "")
+    boxed = F.regexp_extract(place, r"^\[([^\]]*)\](?::\d*)?$", 1)  # the address of [::1]:80
+    host = F.regexp_replace(F.regexp_replace(place, r":\d*$", ""), r"\.+$", "")
+    digits = host.rlike(r"^(?:0x[0-9a-f]*|\d+)(?:\.(?:0x[0-9a-f]*|\d+))*$")
+    quad = host.rlike(r"^(?:0|[1-9]\d{0,2})(?:\.(?:0|[1-9]\d{0,2})){3}$")
     return (
         F.when(~scheme.isin("http", "https"), "scheme_not_allowed")
-        .when(host == "", "no_hostname")
+        .when(boxed != "", F.when(_private_v6(boxed), "private_ip").when(boxed.rlike(r"^[0-9a-f:.]+$"), "ok").otherwise("invalid_ip"))
+        .when((host == "") | host.startswith("["), "no_hostname")
         .when(host.isin(*METADATA_HOSTS), "metadata_host")
-        .when(host == "localhost", "private_ip")
-        .when(quad & private, "private_ip")
-        .when(quad & (a == 100) & b.between(64, 127), "blocked_net")
+        .when(host.rlike(r"(^|\.)localhost$"), "private_ip")
+        .when(digits & ~quad, "encoded_ip")
+        .when(quad & _in_nets(host, BLOCKED_V4), "blocked_net")
+        .when(quad & (_in_nets(host, PRIVATE_V4) | F.exists(F.split(host, r"\."), lambda p: p.cast("int") > 255)), "private_ip")
         .otherwise("ok")
     )
+
+
+def _in_nets(quad: Column, nets: tuple[str, ...]) -> Column:
+    """A dotted quad lies in one of the networks a.b.c.d/bits."""
+    number = F.aggregate(F.split(quad, r"\."), F.lit(0).cast("long"), lambda acc, p: acc * 256 + F.coalesce(p.try_cast("long"), F.lit(0)))
+    out = F.lit(False)
+    for net in nets:
+        base, bits = net.split("/")
+        low = sum(int(x) << (24 - 8 * i) for i, x in enumerate(base.split(".")))
+        out = out | number.between(low, low + (1 << (32 - int(bits))) - 1)
+    return out
+
+
+def _private_v6(address: Column) -> Column:
+    """Loopback, unspecified, mapped or translated IPv4, local, link-local, multicast and
+    documentation addresses, by the groups before the first gap."""
+    first = F.lpad(F.regexp_extract(address, r"^([0-9a-f]{1,4}):", 1), 4, "0")
+    outside = address.rlike(r"^[23][0-9a-f]{3}:")  # of the global range alone
+    odd = address.rlike(r"^2001:(?:0{0,3}db8|0{1,4}|0{0,2}[0-9a-f]{1,2}|:)(?::|$)") | first.isin("2002")
+    return ~outside | odd | F.contains(address, F.lit("."))

@@ -51,6 +51,51 @@ def deep_diff(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return j.select(key, "field", change.alias("change")).where("change is not null")
 
 
+DIFF = "array<struct<path:string,kind:string,a:string,b:string>>"
+
+
+def nested_diff(a: object, b: object, path: str = "") -> list[dict]:
+    """Differences of two parsed JSON values, keys in order: `type`, `added`, `removed`,
+    `list_len` (then the common items are compared) and `value`, with what stood on both
+    sides, cut to 100 characters."""
+    show = lambda v: repr(v)[:100]
+    here = path or "/"
+    if type(a) is not type(b):
+        return [{"path": here, "kind": "type", "a": show(a), "b": show(b)}]
+    out: list[dict] = []
+    if isinstance(a, dict):
+        for k in sorted(a.keys() | b.keys()):
+            if k in a and k in b:
+                out += nested_diff(a[k], b[k], f"{path}/{k}")
+            else:
+                out.append({"path": f"{path}/{k}", "kind": "removed" if k in a else "added", "a": show(a[k]) if k in a else None, "b": show(b[k]) if k in b else None})
+    elif isinstance(a, list):
+        if len(a) != len(b):
+            out.append({"path": here, "kind": "list_len", "a": str(len(a)), "b": str(len(b))})
+        for i in range(min(len(a), len(b))):
+            out += nested_diff(a[i], b[i], f"{path}[{i}]")
+    elif a != b:
+        out.append({"path": here, "kind": "value", "a": show(a), "b": show(b)})
+    return out
+
+
+def response_diff(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """rows with `diffs`: the differences of two response texts, nested if both are JSON, else
+    one of kind `text` with the lengths if they differ. Null counts as an empty text."""
+    import json
+
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        def one(p: str | None, q: str | None) -> list[dict]:
+            try:
+                return nested_diff(json.loads(p), json.loads(q))
+            except (TypeError, ValueError):
+                return [] if (p or "") == (q or "") else [{"path": "/", "kind": "text", "a": str(len(p or "")), "b": str(len(q or ""))}]
+
+        return pd.Series([one(p, q) for p, q in zip(x, y, strict=True)])
+
+    return rows.withColumn("diffs", F.pandas_udf(run, DIFF)(F.col(a), F.col(b)))
+
+
 def with_model(rows: DataFrame, call: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """Rows through an injected model or extractor call, one data frame per Arrow batch.
     The default elsewhere is replay(); nothing here opens a network connection."""
@@ -70,6 +115,14 @@ def accept(pending: DataFrame, audit: DataFrame, key: str) -> DataFrame:
     return audit.join(pending.select(key).distinct(), key, "left_semi")
 
 
+def accepted_rows(pending: DataFrame, audit: DataFrame, accepted: DataFrame, key: str, now: int) -> DataFrame:
+    """What an approval appends: the audit rows of the proposals (key, expires_at) that have
+    not expired at `now`, without those accepted before, so that a repeated approval appends
+    nothing. An expiry equal to now still holds."""
+    live = pending.where(F.col("expires_at") >= now)
+    return fresh(accept(live, audit, key), accepted, key)
+
+
 def rollback(rows: DataFrame, key: str, value: str) -> DataFrame:
     """All rows but those of one harvest; rows without the key stay."""
     return rows.where(F.col(key).isNull() | (F.col(key) != value))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -44,3 +44,9 @@ def cooldown(calls: DataFrame, key: str, ts: str, tie: str, seconds: float) -> D
 
     kind = ", ".join(f"`{n}` {t}" for n, t in calls.dtypes)
     return c.repartition(key, "_run").sortWithinPartitions(key, "_run", "_us", tie).mapInPandas(walk, f"{kind}, ok boolean")
+
+
+def live(calls: DataFrame, at: str, now: Column, seconds: int, taken: Column) -> DataFrame:
+    """Calls that were put at `now` or before, have not expired (a call that is `seconds` old
+    has) and are not taken; null times are left out."""
+    return calls.where((F.col(at) <= now) & (F.col(at) + F.make_dt_interval(secs=F.lit(seconds)) > now) & ~taken)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import logging
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+log = logging.getLogger(__name__)
+
 
 def upsert(source: DataFrame, backup: DataFrame) -> DataFrame:
     """(path, content): all source pages and the backup pages the source lacks; deletions
@@ -28,44 +33,103 @@ class ConflictError(RuntimeError):
 
 
 class PageStore:
-    """Versions of a page table in a folder all executors share. A commit writes every
-    page of a change to a staging folder and makes it visible by one rename, so readers
-    see all of it or nothing; a commit with a known id is a no-op."""
+    """Versions of a page table in a folder all executors share.
+
+    A commit writes every page of a change to a staging folder, claims the next version
+    number by creating a file that must not exist yet, and makes the change visible by one
+    rename, so readers see all of it or nothing and no two writers get one number. The
+    change id lies inside the version; a commit with a known id is a no-op. A number whose
+    writer died stays empty. snapshot() writes the newest content of all pages, after which
+    older versions are not read any more."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._path, self._fs = path, path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def versions(self) -> list[int]:
+    def _numbers(self, mark: str) -> list[int]:
         if not self._fs.exists(self._path(self.root)):
             return []
         names = (s.getPath().getName() for s in self._fs.listStatus(self._path(self.root)))
-        return sorted(int(n[2:].split("-")[0]) for n in names if n.startswith("v="))
+        return sorted(int(n[2:]) for n in names if n.startswith(mark))
+
+    def versions(self) -> list[int]:
+        return self._numbers("v=")
+
+    def _version_of(self, change_id: str) -> int | None:
+        found = self._fs.globStatus(self._path(f"{self.root}/v=*/_id-{change_id}")) or []
+        return min((int(f.getPath().getParent().getName()[2:]) for f in found), default=None)
+
+    def _claim(self, n: int) -> bool:
+        """True if this writer, and no other, gets version n."""
+        p = self._path(f"{self.root}/_claims/{n:012d}")
+        jvm = self.spark.sparkContext._jvm
+        try:
+            self._fs.mkdirs(p.getParent())
+            if self._fs.getScheme() == "file":  # Hadoop's local create is no atomic one
+                jvm.java.nio.file.Files.createFile(jvm.java.io.File(p.toUri().getPath()).toPath(), self.spark.sparkContext._gateway.new_array(jvm.java.nio.file.attribute.FileAttribute, 0))
+            else:
+                self._fs.create(p, False).close()
+            return True
+        except Exception as e:  # a Java exception of the one who came later
+            if "AlreadyExists" in str(e) or "already exists" in str(e):
+                return False
+            raise
 
     def commit(self, changes: DataFrame, change_id: str, retries: int = 3) -> int | None:
-        """Version of the change (path, content); None if there is nothing to write."""
+        """Version of the change (path, content); None if there is nothing to write. A number
+        that another writer claims first is left to it, and the next is tried."""
         if changes.isEmpty():
             return None
-        staged = f"{self.root}/_staged-{change_id}"
+        if known := self._version_of(change_id):
+            return known
+        staged = f"{self.root}/_staged-{change_id}-{uuid.uuid4().hex[:8]}"
+        changes.select("path", "content").write.parquet(staged)
+        self._fs.create(self._path(f"{staged}/_id-{change_id}"), True).close()
         for _ in range(retries):
-            have = self.versions()
-            known = [v for v in have if self._fs.exists(self._path(f"{self.root}/v={v:012d}-{change_id}"))]
-            if known:
-                return known[0]
-            changes.select("path", "content").write.mode("overwrite").parquet(staged)
-            n = (have[-1] if have else 0) + 1
-            if not any(v == n for v in self.versions()) and self._fs.rename(self._path(staged), self._path(f"{self.root}/v={n:012d}-{change_id}")):
-                return n
+            n = max([*self.versions(), *(int(s.getPath().getName()) for s in self._fs.globStatus(self._path(f"{self.root}/_claims/*")) or []), 0]) + 1
+            if self._claim(n):
+                if known := self._version_of(change_id):  # the same change, by another writer
+                    self._fs.delete(self._path(staged), True)
+                    return known
+                if self._fs.rename(self._path(staged), self._path(f"{self.root}/v={n:012d}")):
+                    return n
+        self._fs.delete(self._path(staged), True)
         raise ConflictError(f"change {change_id} was overtaken {retries} times")
 
+    def _newest(self, upto: int | None = None) -> tuple[DataFrame, int]:
+        versions = [v for v in self.versions() if upto is None or v <= upto]
+        base = max((s for s in self._numbers("s=") if upto is None or s <= upto), default=0)
+        folders = [f"{self.root}/s={base:012d}"] * bool(base) + [f"{self.root}/v={v:012d}" for v in versions if v > base]
+        rows = self.spark.read.schema("path string, content string").parquet(*folders)
+        rows = rows.withColumn("_v", F.regexp_extract(F.col("_metadata.file_path"), r"/[vs]=(\d+)/", 1).cast("long"))
+        return rows.groupBy("path").agg(F.max_by("content", "_v").alias("content")), max([base, *versions])
+
     def read(self) -> DataFrame:
         """Newest content of every page."""
-        have = [s.getPath().toString() for s in self._fs.listStatus(self._path(self.root)) if s.getPath().getName().startswith("v=")]
-        rows = self.spark.read.parquet(*have).withColumn("_v", F.regexp_extract(F.col("_metadata.file_path"), r"v=(\d+)", 1).cast("long"))
-        return rows.groupBy("path").agg(F.max_by("content", "_v").alias("content"))
+        return self._newest()[0]
+
+    def snapshot(self, upto: int | None = None) -> int:
+        """Write the newest content of all pages up to a version (the newest), which readers
+        then start from; returns that version."""
+        pages, n = self._newest(upto)
+        if n not in self._numbers("s="):
+            staged = f"{self.root}/_snapshot-{uuid.uuid4().hex[:8]}"
+            pages.write.parquet(staged)
+            self._fs.rename(self._path(staged), self._path(f"{self.root}/s={n:012d}"))
+        return n
 
 
 def append_jsonl(rows: DataFrame, path: str) -> None:
     """Append-only log; row order within a call is not kept."""
     rows.write.mode("append").json(path)
+
+
+def append_shielded(rows: DataFrame, path: str) -> bool:
+    """append_jsonl that never fails its caller: an error is logged and False returned."""
+    try:
+        append_jsonl(rows, path)
+        return True
+    except Exception:
+        log.warning("the trace could not be appended to %s", path, exc_info=True)
+        return False

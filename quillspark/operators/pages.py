@@ -21,10 +21,13 @@ def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
 
 def numbered_paths(rows: DataFrame, base: str, order: str, most: int = 9) -> DataFrame:
     """Path of each row for a base path that several rows want: the first gets it, the
-    next -2 and so on up to `most`, later ones none."""
-    n = F.row_number().over(Window.partitionBy(base).orderBy(order))
+    next -2 and so on up to `most`, later ones none. `order` is unique. Each task keeps only
+    its first `most` of a base before the shuffle, so no base is sorted as a whole."""
+    place = F.row_number().over(Window.partitionBy(base).orderBy(order))
+    # a filter on the rank right above its window is applied on the map side as well
+    first = rows.select(base, order).withColumn("n", place).where(F.col("n") <= most)
     stem = F.regexp_replace(base, r"\.md$", "")
-    return rows.withColumn("n", n).withColumn("path", F.when(F.col("n") == 1, F.col(base)).when(F.col("n") <= most, F.concat(stem, F.lit("-"), F.col("n").cast("string"), F.lit(".md"))))
+    return rows.join(first, [base, order], "left").withColumn("path", F.when(F.col("n") == 1, F.col(base)).when(F.col("n") <= most, F.concat(stem, F.lit("-"), F.col("n").cast("string"), F.lit(".md"))))
 
 
 def backlink(content: Column, slug: Column, marker: str = "## Related") -> Column:
@@ -145,3 +148,44 @@ def with_context(drops: DataFrame, index: DataFrame) -> DataFrame:
     """Each drop with the newest index row of its page, if any (one row per drop)."""
     newest = latest(index.select("slug", "entry_id", "summary", "entry_date"), "slug", "entry_date", "entry_id")
     return drops.join(newest.select("slug", F.col("summary").alias("page_summary")), "slug", "left")
+
+
+def with_pages(rows: DataFrame, store: DataFrame, **named: Column) -> DataFrame:
+    """Each drop with the content of pages by name, '' where one is missing: a column per
+    name whose value is a path, such as the target file, the memory page, the drops of the
+    day, the decisions and the index. One row per path is taken, so drops never multiply;
+    a page that all drops want (memory, decisions) is spread by a broadcast that is chosen
+    at run time from its size."""
+    one = store.groupBy("path").agg(F.max("content").alias("content"))
+    for name, path in named.items():
+        rows = rows.withColumn("_path", path).join(one.select(F.col("path").alias("_path"), F.col("content").alias(name)), "_path", "left").drop("_path")
+        rows = rows.withColumn(name, F.coalesce(name, F.lit("")))
+    return rows
+
+
+def life_of_area(entries: DataFrame, pages_path: str, since: str, most: int = 20) -> DataFrame:
+    """Entries (path, n, ts, title) of one area's page from `since` on, last in the file
+    first. The area of credentials has none."""
+    mine = entries.where((F.col("path") == pages_path) & (F.col("ts") >= since) & (F.col("path") != "life/credentials.md"))
+    return mine.orderBy(F.desc("n")).limit(most)
+
+
+def life_snapshots(entries: DataFrame, area: str, at: str, title: str, since: Column) -> DataFrame:
+    """(area, n, titles): the titles of each area since an instant, in time order, one per
+    line; areas without any have no row, nor has the one of credentials."""
+    recent = entries.where((F.col(at) >= since) & (F.col(area) != "credentials"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, title))), lambda x: x[title]), "\n")
+    return recent.groupBy(F.col(area).alias("area")).agg(F.count("*").alias("n"), listed.alias("titles"))
+
+
+def critical(cards: DataFrame, most: int = 3) -> DataFrame:
+    """Project cards with a blocker or an urgent deadline, the first few by slug."""
+    c = cards.where((F.length("blocker") > 0) | (F.col("level") == "urgent"))
+    return c.orderBy("slug").limit(most).select("slug", F.coalesce(F.nullif("blocker", F.lit("")), "note").alias("description"), F.when(F.col("level") != "ok", F.col("label")).otherwise("").alias("label"))
+
+
+def project_groups(cards: DataFrame, most_archived: int = 5) -> DataFrame:
+    """(path, grp): active, inactive, and the first archived pages as done."""
+    gone = F.contains("path", F.lit("/archive/"))
+    live = cards.where(~gone).select("path", F.when(F.coalesce(F.nullif("status", F.lit("")), F.lit("active")) == "active", "active").otherwise("inactive").alias("grp"))
+    return live.unionByName(cards.where(gone).orderBy("path").limit(most_archived).select("path", F.lit("done").alias("grp")))

@@ -41,10 +41,23 @@ def grep(pages: DataFrame, pattern: str, regex: bool = False) -> DataFrame:
         pages.sparkSession.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
     except Exception:  # a Java exception: the pattern is invalid
         return vault.lines(pages).where(F.lit(False))
-    return vault.lines(pages).where(line.rlike(pattern))
+    # a line's ends are line ends of the page then; what only a whole page can match (\A, \z) is not filtered
+    whole = pages if r"\A" in pattern or r"\z" in pattern or r"\Z" in pattern else pages.where(F.col("content").rlike(f"(?m)(?:{pattern})"))
+    return vault.lines(whole).where(line.rlike(pattern))
 
 
-def wiki(index: DataFrame, needle: str) -> DataFrame:
-    """Index rows that hold the needle, in any case, in slug, summary or tags."""
+#: Most results of a search on the command line, in a chat, in the wiki and among life entries.
+LIMITS = {"cli": 50, "chat": 20, "wiki": 10, "life": 20}
+
+
+def first_hits(hits: DataFrame, most: int = LIMITS["cli"]) -> DataFrame:
+    """The first lines found, by path and line."""
+    return hits.orderBy("path", "line_no").limit(most)
+
+
+def wiki(index: DataFrame, needle: str, most: int | None = None) -> DataFrame:
+    """Index rows that hold the needle, in any case, in slug, summary or tags; with `most`,
+    the first of them by slug."""
     hay = F.lower(F.concat_ws(" ", "slug", "summary", F.concat_ws(" ", "tags")))
-    return index.where(F.contains(hay, F.lit(needle.lower())))
+    found = index.where(F.contains(hay, F.lit(needle.lower())))
+    return found if most is None else found.orderBy(*(c for c in ("slug", "entry_id") if c in index.columns)).limit(most)

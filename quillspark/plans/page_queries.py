@@ -16,6 +16,7 @@ from quillspark.operators import evals, gate, mirror, pages, search
 from quillspark.plans.scalar_queries import COMMITS_SQL, _commits, slug_sql
 from quillspark.sources import vault
 from quillspark.sources.tables import table
+from quillspark.streaming import jobs
 
 NOW = datetime(2024, 1, 31)
 
@@ -95,12 +96,6 @@ def life_recent_topk(spark: SparkSession, sf: str) -> DataFrame:
     return e.orderBy(F.desc("ts"), "path").limit(20).select("path", "ts", "title")
 
 
-def life_brief(spark: SparkSession, sf: str) -> DataFrame:
-    """Entries per life area: their number and latest day (titles are joined per day)."""
-    c = table(spark, sf, "classification").where("target_kind = 'life' and life_area is not null").select("classification_id", "life_area", "classified_at").distinct()
-    return c.groupBy(text.slugify(F.col("life_area")).alias("area")).agg(F.count_distinct("classification_id").alias("n"), F.max(_day("classified_at")).alias("last_day"))
-
-
 def _drop_pages(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf, "pipeline_record").where("received_at is not null")
     e = text.drop_entry(F.date_format("received_at", "HH:mm"), F.coalesce("target_kind", F.lit("")), F.col("drop_type"), F.col("target_path"), F.col("slug"))
@@ -233,18 +228,12 @@ def search_wiki(spark: SparkSession, sf: str) -> DataFrame:
     return search.wiki(table(spark, sf, "index_entry"), "Cedar").select("entry_id", "slug")
 
 
-def query_life(spark: SparkSession, sf: str) -> DataFrame:
-    """Newest life entries of one area within 30 days, in reverse file order."""
-    p = _pages(spark, sf).where(F.col("path").startswith("life/") & (F.col("mtime") >= F.lit("2024-01-01").cast("timestamp")))
-    return vault.life_entries(p).orderBy(F.desc("path"), F.desc("n")).limit(20).select("path", "ts", "title")
-
-
 def pending_live(spark: SparkSession, sf: str) -> DataFrame:
-    """Pending calls that neither expired (300 s) nor were taken at the clock."""
-    e = table(spark, sf, "events")
+    """Pending calls that neither expired (300 s) nor were taken at the clock. Calls come about
+    once in four minutes, so each is taken to have come a 60th of its time before the clock."""
     clock = F.lit("2024-01-15 12:00:00").cast("timestamp_ntz")
-    live = (F.col("ts") <= clock) & (F.col("ts") + F.expr("interval 20000 seconds") > clock)
-    return e.where(live & (F.col("event_id") % 4 != 0)).select("event_id", "user_id")
+    e = table(spark, sf, "events").withColumn("at", clock - F.make_dt_interval(secs=(F.abs(F.unix_micros(clock.cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 60e6).cast("decimal(18,6)")))
+    return gate.live(e, "at", clock, 300, F.col("event_id") % 4 == 0).select("event_id", "user_id")
 
 
 def cooldown_accepts(spark: SparkSession, sf: str) -> DataFrame:
@@ -403,18 +392,18 @@ def index_regenerate(spark: SparkSession, sf: str) -> DataFrame:
 def escalation_two_pass(spark: SparkSession, sf: str) -> DataFrame:
     """Runs that escalate go through a second pass; the others keep the first result."""
     t = table(spark, sf, "pipeline_record").select("record_seq", F.coalesce("escalated", F.lit(False)).alias("e"), "target_confidence", F.coalesce("verifier_ok", F.lit(False)).alias("ok"))
-    first = t.where("not e").select("record_seq", F.lit(1).alias("passes"), "target_confidence")
-    second = t.where("e").select("record_seq", F.lit(2).alias("passes"), F.when(F.col("ok"), F.col("target_confidence")).otherwise("blocked").alias("target_confidence"))
-    return first.unionByName(second)
+    first = lambda d: d.withColumn("escalated", F.col("e")).withColumn("passes", F.lit(1))
+    second = lambda d: d.withColumn("passes", F.lit(2)).withColumn("target_confidence", F.when(F.col("ok"), F.col("target_confidence")).otherwise("blocked"))
+    return jobs.two_pass(first, second)(t).select("record_seq", "passes", "target_confidence")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        guarded_scan, frontmatter_split, wiki_index_parse, life_entries_since, life_recent_topk, life_brief, drop_lines,
+        guarded_scan, frontmatter_split, wiki_index_parse, life_entries_since, life_recent_topk, drop_lines,
         commit_lines_ffill, section_parse, queue_claimable_anti, raw_path_collisions, writer_fanout, index_upsert, backlink_insert,
         board_merge, archival_sweep, mirror_upsert, mirror_verify, harvest_fresh_anti, accept_semi, rollback_filter, search_scope,
-        since_filter, grep_fixed, grep_regex, search_wiki, query_life, pending_live, cooldown_accepts, broken_wikilinks,
+        since_filter, grep_fixed, grep_regex, search_wiki, pending_live, cooldown_accepts, broken_wikilinks,
         orphan_pointers, tag_peers_topk, tag_peers_all, commits_for_project, mentions_per_day, sparkline_points, mention_totals, drift_diff,
         ablation_divergence, cassette_replay, cassette_usage, json_deep_diff, lookup_with_fallback, tag_cloud, commit_digest,
         onboarding_distinct, lint_summary, weekly_context, index_regenerate, escalation_two_pass,
@@ -468,9 +457,6 @@ SQL = {
  coalesce(strftime(entry_date, '%Y-%m-%d'), '') AS day FROM index_entry WHERE summary IS NOT NULL""",
     "life_entries_since": f"WITH {_LIFE} SELECT path, ts, title, coalesce(list_extract(body, 1), '') AS snippet FROM lf WHERE ts >= '2024-01-01 00:00'",
     "life_recent_topk": f"WITH {_LIFE} SELECT path, ts, title FROM lf ORDER BY ts DESC, path LIMIT 20",
-    "query_life": f"WITH {_LIFE} SELECT path, ts, title FROM lf WHERE extracted_at >= TIMESTAMPTZ '2024-01-01 00:00:00+00' ORDER BY path DESC LIMIT 20",
-    "life_brief": f"""SELECT {slug_sql('life_area')} AS area, count(DISTINCT classification_id) AS n, max({_D('classified_at')}) AS last_day FROM classification
- WHERE target_kind = 'life' AND life_area IS NOT NULL GROUP BY 1""",
     "drop_lines": """SELECT record_seq, strftime(received_at AT TIME ZONE 'UTC', '%H:%M') AS time, drop_type AS kind, coalesce(nullif(target_path, ''), 'daily_only') AS destination
  FROM pipeline_record WHERE received_at IS NOT NULL AND coalesce(target_kind, '') <> 'credential' AND drop_type IS NOT NULL""",
     "commit_lines_ffill": f"WITH {COMMITS_SQL} SELECT 'daily/' || day || '/commits.md' AS path, sha, substr(trim(message), 1, 80) AS message, repo FROM c",
@@ -503,7 +489,7 @@ SELECT n_source, n_backup, abs(n_source - n_backup) * 100.0 / greatest(n_source,
     "grep_fixed": f"{_V}, {_LINES} SELECT path, CAST(line_no AS INT) AS line_no, line FROM ln WHERE contains(line, 'lighthouse') AND NOT starts_with(path, 'raw/')",
     "grep_regex": f"{_V}, {_LINES} SELECT path, CAST(line_no AS INT) AS line_no, line FROM ln WHERE regexp_matches(line, '(old|blue) (well|lantern)') AND starts_with(path, 'daily/')",
     "search_wiki": "SELECT entry_id, slug FROM index_entry WHERE contains(lower(concat_ws(' ', slug, summary, array_to_string(tags, ' '))), 'cedar')",
-    "pending_live": """SELECT event_id, user_id FROM events WHERE ts <= TIMESTAMP '2024-01-15 12:00:00' AND ts + INTERVAL 20000 SECOND > TIMESTAMP '2024-01-15 12:00:00' AND event_id % 4 <> 0""",
+    "pending_live": """SELECT event_id, user_id FROM events WHERE CAST(trunc(abs(epoch_us(TIMESTAMP '2024-01-15 12:00:00') - epoch_us(ts)) / 60.0) AS BIGINT) < 300000000 AND event_id % 4 <> 0""",
     "broken_wikilinks": f"{_V}, {_BROKEN} SELECT path, target FROM br",
     "orphan_pointers": f"{_V}, {_ORPH} SELECT name, path FROM orph",
     "tag_peers_topk": """WITH i AS (SELECT slug, entry_id, tags FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY entry_date DESC NULLS LAST, entry_id DESC) AS r

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("trace_queries", "delivery_queries", "scalar_queries", "page_queries", "report_queries")
+MODULES = ("trace_queries", "delivery_queries", "scalar_queries", "page_queries", "report_queries", "compose_queries")
 
 
 def gather() -> tuple[dict, dict]:

@@ -137,7 +137,7 @@ def attachment_class(spark: SparkSession, sf: str) -> DataFrame:
 def fallback_ladder(spark: SparkSession, sf: str) -> DataFrame:
     """First extraction tier whose text is long enough: 200 characters, then 100, else none."""
     e = table(spark, sf, "extraction").select("extraction_id", F.coalesce("content", F.lit("")).alias("a"), F.coalesce("summary", F.lit("")).alias("b"))
-    tier = F.when(F.length("a") >= 200, "tier1").when(F.length("a") >= 100, "tier2").when(F.length("b") >= 60, "summary").otherwise("none")
+    tier = text.ladder((F.col("a"), 200, "tier1"), (F.col("a"), 100, "tier2"), (F.col("b"), 60, "summary"))
     return e.select("extraction_id", tier.alias("tier"))
 
 
@@ -407,11 +407,11 @@ SELECT doc_id, CAST(part AS INT) AS part, CAST(length(substr(text, part * 3800 +
  FROM (SELECT *, strftime(extracted_at AT TIME ZONE 'UTC', '%Y%m%d') || 'T000000Z' AS d FROM extraction WHERE title IS NOT NULL AND summary IS NOT NULL)""",
     "note_extract": """SELECT extraction_id, trim(summary) AS note, CASE WHEN extraction_id % 5 = 0 THEN trim(coalesce(title, '?')) END AS blocker FROM extraction WHERE summary IS NOT NULL""",
     "scrub_email": "SELECT extraction_id, " + _re(scrub.EMAIL_RE, "user@example.com", "content") + f" AS out {_PERS}",
-    "scrub_phone": "SELECT extraction_id, " + _re(scrub.PHONE_RE, "000-0000", "content") + f" AS out {_PERS}",
-    "scrub_money": "SELECT extraction_id, " + _re(scrub.MONEY_RE, "$X", "content") + f" AS out {_PERS}",
-    "scrub_date": "SELECT extraction_id, " + _re(scrub.DATE_RE, "2000-01-01", "content") + f" AS out {_PERS}",
+    "scrub_phone": "SELECT extraction_id, " + _re(scrub.PHONE_RE, scrub.PHONE_TO, "content") + f" AS out {_PERS}",
+    "scrub_money": "SELECT extraction_id, " + _re(scrub.MONEY_RE, scrub.MONEY_TO, "content") + f" AS out {_PERS}",
+    "scrub_date": "SELECT extraction_id, " + _re(scrub.DATE_RE, scrub.DATE_TO, "content") + f" AS out {_PERS}",
     "scrub_chain": "SELECT extraction_id, "
-    + _re(scrub.DATE_RE, "2000-01-01", _re(scrub.MONEY_RE, "$X", _re(scrub.PHONE_RE, "000-0000", _re(scrub.EMAIL_RE, "user@example.com", "content"))))
+    + _re(scrub.DATE_RE, scrub.DATE_TO, _re(scrub.MONEY_RE, scrub.MONEY_TO, _re(scrub.PHONE_RE, scrub.PHONE_TO, _re(scrub.EMAIL_RE, "user@example.com", "content"))))
     + f" AS out, FALSE AS secret {_PERS}",
     "slug_rotation": "SELECT extraction_id, "
     + "regexp_replace(regexp_replace(regexp_replace(content, '\\bkelp catalogue\\b', 'project-a', 'gi'), '\\bowl census\\b', 'project-b', 'gi'), '\\bheat map\\b', 'project-c', 'gi')"

@@ -6,11 +6,16 @@ encodings of index, life, drop, commit, memory and board pages."""
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Prefixes that no query may read, whatever the configuration adds.
 ALWAYS_BLOCKED = ("life/credentials/",)
+# The lines of index, life, memory and commit pages.
 INDEX_RE = r"^- \[\[([a-z0-9-]+)\]\] — (.+?) \[(.*?)\](?: \((\d{4}-\d{2}-\d{2})\))?"
 LIFE_RE = r"^## (\d{4}-\d{2}-\d{2}) (\d{2}:\d{2}) — (.+)$"
 MEMORY_RE = r"^(\S+)\s+(\S+\.md)\s+"
@@ -39,10 +44,14 @@ def load(spark: SparkSession, root: str, prefixes: list[str] | None = None, glob
 
 
 def attachments(spark: SparkSession, root: str, most_bytes: int = 20 * 1024 * 1024) -> DataFrame:
-    """Binary files with text as text and the rest in base64; larger files are left out."""
-    b = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= most_bytes)
+    """Binary files with text as text and the rest in base64. A file larger than `most_bytes`
+    has its row too, with a null body, and is not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     text = F.expr("is_valid_utf8(content)")
-    return b.select("path", "length", text.alias("is_text"), F.when(text, F.decode("content", "UTF-8")).otherwise(F.base64("content")).alias("body"))
+    b = files.where(F.col("length") <= most_bytes)
+    read = b.select("path", "length", text.alias("is_text"), F.when(text, F.decode("content", "UTF-8")).otherwise(F.base64("content")).alias("body"))
+    large = files.where(F.col("length") > most_bytes)
+    return read.unionByName(large.select("path", "length", F.lit(None).cast("boolean").alias("is_text"), F.lit(None).cast("string").alias("body")))
 
 
 def read_page(pages: DataFrame, path: str) -> DataFrame:
@@ -86,6 +95,88 @@ def header_list(header: Column, key: str) -> Column:
     return F.filter(F.transform(F.split(inner, ","), lambda x: F.trim(x, F.lit(" \"'"))), lambda x: x != "")
 
 
+def header_items(header: Column, key: str) -> Column:
+    """List of a header key in either notation: inline [a, b], or one item per line after it."""
+    block = F.regexp_extract(header, rf"(?m)^{key}:[ \t]*\r?\n((?:[ \t]*-[ \t]+[^\n]*(?:\n|\z))+)", 1)
+    items = F.transform(F.split(block, "\n"), lambda x: F.trim(F.regexp_replace(x, r"^[ \t]*-[ \t]+", ""), F.lit(" \"'\r")))
+    return F.when(block != "", F.filter(items, lambda x: x != "")).otherwise(header_list(header, key))
+
+
+#: A parsed header: scalars as text, lists as JSON, nested keys joined by dots, and what was wrong.
+HEADER = "struct<fields:map<string,string>,error:string>"
+
+
+def _scalar(text: str) -> object:
+    """Value of one header item: quoted or plain text, or an inline list or map of such."""
+    t = text.strip()
+    if t[:1] in "[{" and t[-1:] == {"[": "]", "{": "}"}.get(t[:1]):
+        parts, depth, quote, start = [], 0, "", 1
+        for i, ch in enumerate(t[1:-1], 1):
+            if quote:
+                quote = "" if ch == quote else quote
+            elif ch in "\"'":
+                quote = ch
+            elif ch in "[{":
+                depth += 1
+            elif ch in "]}":
+                depth -= 1
+            elif ch == "," and depth == 0:
+                parts.append(t[start:i])
+                start = i + 1
+        parts = [p for p in [*parts, t[start:-1]] if p.strip()]
+        return [_scalar(p) for p in parts] if t[0] == "[" else {k.strip(): _scalar(v) for k, _, v in (p.partition(":") for p in parts)}
+    if len(t) > 1 and t[0] == t[-1] and t[0] in "\"'":
+        return t[1:-1]
+    return re.sub(r"\s#.*$", "", t)
+
+
+def parse_header(text: str | None) -> dict:
+    """Fields of a page header in the part of YAML that pages use: scalars, lists in both
+    notations and nested maps by indentation. A line that fits none is named in `error`, and
+    what was read before and after it is kept."""
+    fields: dict[str, object] = {}
+    error, stack = None, [(-1, "")]
+    for n, raw in enumerate((text or "").split("\n"), 1):
+        line = raw.rstrip()
+        if not line.strip() or line.lstrip().startswith("#"):
+            continue
+        depth = len(line) - len(line.lstrip())
+        item = re.match(r"-\s+(.*)$|-$", line.strip())
+        if item:
+            key = stack[-1][1]
+            if not key or not isinstance(fields.get(key, []), list):
+                error = error or f"line {n}: an item of no list"
+                continue
+            fields.setdefault(key, []).append(_scalar(item[1] or ""))
+            continue
+        pair = re.match(r"([^\s:#\[\]{},][^:]*):(?:\s+(.*)|)$", line.strip())
+        if not pair:
+            error = error or f"line {n}: no key"
+            continue
+        while stack[-1][0] >= depth:
+            stack.pop()
+        key = f"{stack[-1][1]}.{pair[1].strip()}" if stack[-1][1] else pair[1].strip()
+        if pair[2]:
+            fields[key] = _scalar(pair[2])
+        stack.append((depth, key))
+    flat: dict[str, str] = {}
+    for k, v in fields.items():
+        if isinstance(v, dict):
+            flat |= {f"{k}.{x}": y if isinstance(y, str) else json.dumps(y, ensure_ascii=False) for x, y in v.items()}
+        else:
+            flat[k] = v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+    return {"fields": flat, "error": error}
+
+
+def header_fields(header: Column) -> Column:
+    """All fields of a header, with the first error; no header has none."""
+
+    def run(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([parse_header(t) for t in s], columns=["fields", "error"])
+
+    return F.pandas_udf(run, HEADER)(header)
+
+
 def lines(pages: DataFrame, content: str = "content", *keep: str) -> DataFrame:
     """One row per line, numbered from 1."""
     keep = keep or ("path",)

@@ -125,11 +125,17 @@ def pending(events: DataFrame, key: str, seconds: float = 300.0) -> DataFrame:
     return events.groupBy(key).applyInPandasWithState(walk, f"{key} {kind[key]}, action string", "expires long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def to_store(changes: DataFrame, store: PageStore, checkpoint: str, trigger: dict, name: str = "pages") -> StreamingQuery:
-    """Commit every micro-batch of (path, content) as one atomic change, once."""
+def to_store(changes: DataFrame, store: PageStore, checkpoint: str, trigger: dict, name: str = "pages", order: str | None = None) -> StreamingQuery:
+    """Commit every micro-batch of (path, content, ...) as one atomic change, once. Of several
+    contents of a page the one that is last in `order` (a column such as `captured`) is
+    written; without an order a page must come once per batch, else the query stops."""
 
     def commit(batch: DataFrame, batch_id: int) -> None:
-        newest = batch.groupBy("path").agg(F.max("content").alias("content"))
+        if order is None:
+            once = F.when(F.count("*") > 1, F.raise_error(F.lit("a page came twice in a batch, and no order column is given")).cast("string")).otherwise(F.max("content"))
+            newest = batch.groupBy("path").agg(once.alias("content"))
+        else:
+            newest = batch.groupBy("path").agg(F.max_by("content", order).alias("content"))
         store.commit(newest, f"{name}{batch_id}")
 
     return changes.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(**trigger).start()

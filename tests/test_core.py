@@ -193,7 +193,7 @@ def test_urls(spark):
     assert one(spark, urls.arxiv_id, u="https://arxiv.org/pdf/hep-ph/9901001v2") == "hep-ph/9901001"
     assert one(spark, urls.video_id, u="https://www.youtube.com/shorts/abcdefghijk?x") == "abcdefghijk"
     assert one(spark, urls.url_slug, u="https://a.example/Some%20Page/?q=1") == one(spark, text.drop_id, t="https://a.example/Some%20Page/?q=1")[:8]
-    for u, why in {"ftp://a": "scheme_not_allowed", "http://": "no_hostname", "http://10.1.2.3/": "private_ip", "http://u@127.0.0.1:80": "private_ip", "http://169.254.169.254": "private_ip", "http://100.100.100.200": "blocked_net", "http://metadata/": "metadata_host", "https://8.8.8.8/x": "ok", "https://a.example": "ok", None: "scheme_not_allowed"}.items():
+    for u, why in {"ftp://a": "scheme_not_allowed", "http://": "no_hostname", "http://10.1.2.3/": "private_ip", "http://u@127.0.0.1:80": "private_ip", "http://169.254.169.254": "private_ip", "http://100.100.100.200": "blocked_net", "http://metadata/": "metadata_host", "https://8.8.8.8/x": "ok", "http://[::1]/": "private_ip", "http://[fd00:ec2::254]": "private_ip", "http://[::ffff:10.0.0.1]:80/": "private_ip", "http://[2606:4700::1111]/": "ok", "http://[2001:db8::1]/": "private_ip", "http://[fe80::1%25eth0]/": "private_ip", "http://127.1/": "encoded_ip", "http://2130706433": "encoded_ip", "http://0x7f000001/": "encoded_ip", "http://0177.0.0.1/": "encoded_ip", "http://localhost./": "private_ip", "http://a.localhost": "private_ip", "http://198.18.0.1": "private_ip", "http://192.0.0.5/": "private_ip", "http://203.0.113.9": "private_ip", "http://172.32.0.1": "ok", "http://300.1.1.1": "private_ip", "http://100.128.0.1": "ok", "https://a.example": "ok", None: "scheme_not_allowed"}.items():
         assert one(spark, urls.safe_url, u=u) == why, u
     assert one(spark, urls.attachment_class, m="", n="a.HWPX") == "hwp"
 
@@ -211,7 +211,11 @@ def test_dates(spark):
 
 def test_scrub(spark):
     f = lambda t, **k: one(spark, lambda c: scrub.chain(c, ["acme app"], **k), t=t)
-    assert f("mail a@b.co on 2024-01-02 for $1,200") == "mail user@example.com on 2000-01-01 for $X"
+    assert f("mail a@b.co on 2024-01-02 for $1,200") == "mail user@example.com on [DATE] for [AMOUNT]"
+    assert f("call 010-1234-5678, née müller@büro.example") == "call +00-0000-0000, née user@example.com"
+    assert f("see secret.github.com/a/b, GitHub.com/a?b=1 and http://GITHUB.com/c") == "see https://example.com/X https://github.com/a and http://github.com/c"
+    two = lambda t: one(spark, lambda c: scrub.known_slugs(c, ["app", "acme app", "", "c++ (x)"]), t=t)
+    assert two("App and acme APP, apps") == "project-a and project-b, apps"
     assert f("see https://github.com/a/b?x=1 and http://secret.corp/y?z") == "see https://github.com/a/b and https://example.com/X"
     assert f("the ACME App here") == "the project-a here"
     assert "a@" in f("mail a@b.co", compat_order=True)
@@ -328,11 +332,60 @@ def test_page_store(spark, tmp_path):
     assert {tuple(r) for r in s.read().collect()} == {("a", "2"), ("b", "1")}
     assert {tuple(r) for r in mirror.upsert(df(("a", "n")), df(("a", "o"), ("z", "o"))).collect()} == {("a", "n"), ("z", "o")}
     assert mirror.verify(df(("a", "n")), df(("z", "o")), "a").first().verdict == "critical_missing"
+    assert mirror.append_shielded(df(("a", "1")), str(tmp_path / "store" / "v=000000000001" / "_id-c1")) is False
     mirror.append_jsonl(df(("a", "1")), str(tmp_path / "log"))
     mirror.append_jsonl(df(("b", "1")), str(tmp_path / "log"))
     assert spark.read.json(str(tmp_path / "log")).count() == 2
 
 
+def test_racing_writers_never_share_a_version(spark, tmp_path, monkeypatch):
+    df = lambda *r: spark.createDataFrame(r, "path string, content string")
+    a, b = (mirror.PageStore(spark, str(tmp_path / "store")) for _ in range(2))
+    assert a.commit(df(("p", "0")), "c0") == 1
+    claim = mirror.PageStore._claim
+
+    def overtaken(self, n):  # the other writer comes between the look and the claim
+        if self is a and n == 2:
+            assert claim(b, 2)
+        return claim(self, n)
+
+    monkeypatch.setattr(mirror.PageStore, "_claim", overtaken)
+    assert a.commit(df(("p", "1")), "c1") == 3
+    monkeypatch.setattr(mirror.PageStore, "_claim", lambda self, n: False)
+    with pytest.raises(mirror.ConflictError):
+        a.commit(df(("p", "2")), "c2")
+    monkeypatch.undo()
+    assert b.commit(df(("p", "3"), ("q", "1")), "c3") == 4 and a.versions() == [1, 3, 4]
+    assert a.snapshot(upto=3) == 3 and a.snapshot() == 4 and b.commit(df(("q", "2")), "c4") == 5
+    assert {tuple(r) for r in a.read().collect()} == {("p", "3"), ("q", "2")}
+
+
+def test_nested_diff(spark):
+    rows = [(1, '{"a": 1, "b": [1, {"c": "x"}], "d": null}', '{"a": "1", "b": [1, {"c": "y"}, 3], "e": 2}'), (2, "same", "same"), (3, "text", None), (4, "[1]", "[1]"), (5, None, None)]
+    got = evals.response_diff(spark.createDataFrame(rows, "id int, a string, b string"), "a", "b").orderBy("id").collect()
+    assert [(d.path, d.kind) for d in got[0].diffs] == [("/a", "type"), ("/b", "list_len"), ("/b[1]/c", "value"), ("/d", "removed"), ("/e", "added")]
+    assert got[2].diffs[0].kind == "text" and not got[1].diffs and not got[3].diffs and not got[4].diffs
+
+
+def test_headers(spark):
+    h = "a: 1 # note\ntags:\n  - x\n  - 'y z'\nlist: [p, \"q, r\"]\nmore:\n  deep: v\nbroken line\nz: ''\n"
+    got = vault.parse_header(h)
+    assert got["fields"] == {"a": "1", "tags": '["x", "y z"]', "list": '["p", "q, r"]', "more.deep": "v", "z": ""} and got["error"] == "line 8: no key"
+    assert vault.parse_header(None) == {"fields": {}, "error": None}
+    assert one(spark, lambda c: vault.header_items(c, "tags"), h=h) == ["x", "y z"] and one(spark, lambda c: vault.header_items(c, "list"), h="list: [a, b]\n") == ["a", "b"]
+
+
+def test_page_texts(spark):
+    snip = lambda t: one(spark, lambda c: text.pipeline_snippet(c, F.lit("u"), F.lit("web"), 5), t=t)
+    assert snip("  abc ") == "\n\n[Extracted from u (web)]\nabc" and snip("abcd efgh").endswith("abcd…\n[truncated — full text in raw/]")
+    assert one(spark, text.html_text, t="<p>a&lt;b</p><script>x<y</script>\n\n c") == "a<b\nc"
+    null = F.lit(None).cast("string")
+    page = one(spark, lambda t, s, c: text.wiki_page(t, s, c, null, null, null, null), t="T", s="One. Two.", c=["k"])
+    assert page == "# T\n\n> One.\n\n## Key points\n\n- k\n\n## Overview\n\nTwo.\n\n## Related\n"
+    d = one(spark, lambda s: text.decision_entry(F.lit("t"), F.lit("credential"), F.lit("credential"), s, F.lit("high"), F.array(F.lit("life/credentials/secret.md")), F.lit("r")), s="secret")
+    assert "secret" not in d and "(redacted)" in d
+
+
 # ---- rewriting and reports -------------------------------------------------------
 
 

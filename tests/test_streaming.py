@@ -67,6 +67,15 @@ def test_queue_to_store_is_exactly_once(spark, tmp_path):
     assert store.versions() == [1]
 
 
+def test_the_newest_content_of_a_batch_is_stored(spark, tmp_path):
+    src = tmp_path / "src"
+    spark.createDataFrame([("p", "z first", 1), ("p", "a later", 2), ("q", "once", 1)], "path string, content string, seq int").write.parquet(str(src))
+    store = PageStore(spark, str(tmp_path / "store"))
+    changes = spark.readStream.schema("path string, content string, seq int").parquet(str(src))
+    jobs.to_store(changes, store, str(tmp_path / "cp"), ONCE, order="seq").awaitTermination(120)
+    assert {tuple(r) for r in store.read().collect()} == {("p", "a later"), ("q", "once")}
+
+
 def test_two_pass(spark):
     df = spark.createDataFrame([(1, True), (2, False), (3, None)], "id long, escalated boolean")
     stage = jobs.two_pass(lambda d: d.withColumn("by", F.lit("low")), lambda d: d.withColumn("by", F.lit("mid")))
