@@ -2,12 +2,14 @@
 
 Types: name, email, phone, id, address. Patterns are anchored on format (separators,
 group lengths, street words, labels), names on a list of name parts, its affixes and
-initials. Overlaps are settled by the order email, id, phone, address, name.
+initials. Overlaps are settled by ORDER: email, address, id, phone, name.
 
-A placeholder is [TYPE value], where the value of a validated number is permuted within
-its own format by a keyed Feistel network (dates inside identity numbers within the
-calendar, so that they stay dates) and other types carry a keyed tag: equal values stay
-linked across documents, and numbers can be restored with the key.
+A placeholder is [TYPE value], where the value of a number is permuted within its own
+format by a keyed Feistel network: dates inside identity numbers within the calendar,
+numbers that pass the check of their kind (`valid`) to others that pass it and the rest to
+the rest, telephone numbers without country code, trunk zero and extension, which stand
+beside. Other types carry a keyed tag of their canonical form (`canonical`). So equal values
+stay linked across documents however they are written.
 
 Defined results: null text has no finding and stays null; empty text stays empty;
 repeated rows give repeated findings; positions count Unicode characters from 1; extra
@@ -19,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from datetime import date, timedelta
 
@@ -44,6 +47,7 @@ ID = re.compile(
     r"|(?P<ssn>\d{3}[- ]\d{2}[- ]\d{4})"
     r"|(?P<rrn>\d{6}-\d{7})"
     r"|(?P<passport>[A-Z]{2}\d{7}|[A-Z]\d{8})"
+    r"|(?P<nif>\d{8}[A-HJ-NP-TV-Z])"
     r"|(?P<tax>(?<=tax id )\d{11}|(?<=tax no )\d{11}|(?<=tax no\. )\d{11}|(?<=Steuer-ID )\d{11}|(?<=IdNr )\d{11}|(?<=IdNr\. )\d{11}|00\d{9}(?!\d))"
     r")(?![\w-])"
 )
@@ -75,7 +79,7 @@ _ADDRESS_TAIL = re.compile(
     rf"(?:,{_S}\d{{5}}{_S}[^\W\d_]+|,{_S}{_TOWN}[^\W\d_]+{_S}\d{{5}}(?!\d)|,{_S}{_TOWN}[A-Z][^\W\d_]+|,{_S}{_TOWN}[a-z]+(?=\s*(?:[.;,!?()\n]|$))|{_S}\d{{5}}\b)?"
 )
 _TOKEN = re.compile(r"[^\W\d_]+")
-ORDER = ("email", "id", "phone", "address", "name")
+ORDER = ("email", "address", "id", "phone", "name")
 
 
 class Names:
@@ -145,27 +149,26 @@ class Names:
 
 def find(text: str, names: Names) -> list[tuple[str, int, int]]:
     """(type, start, end) of all findings, in text order, none overlapping another."""
-    spans: list[tuple[str, int, int]] = []
-
-    def add(kind: str, a: int, b: int) -> None:
-        if all(b <= x or a >= y for _, x, y in spans):
-            spans.append((kind, a, b))
-
-    for m in EMAIL.finditer(text):
-        add("email", *m.span())
+    found: dict[str, list[tuple[int, int]]] = {k: [] for k in ORDER}
+    found["email"] = [m.span() for m in EMAIL.finditer(text)]
     for m in ADDRESS.finditer(text):
         end = _ADDRESS_TAIL.match(text, m.end()).end()
         if text[end - 1] == "." and end > m.end() and text[end : end + 1] not in (".", ","):
             end -= 1
-        add("address", m.start(), end)
-    for m in ID.finditer(text):
-        add("id", *m.span())
-    for m in PHONE.finditer(text):
-        if 7 <= sum(c.isdigit() for c in m[0]) <= 20:
-            add("phone", *m.span())
-    for a, b in names.find(text):
-        add("name", a, b)
-    return sorted(spans, key=lambda s: s[1])
+        found["address"].append((m.start(), end))
+    # a Spanish number has no other mark than its check letter
+    found["id"] = [m.span() for m in ID.finditer(text) if m.lastgroup != "nif" or valid("nif", m[0])]
+    found["phone"] = [m.span() for m in PHONE.finditer(text) if 7 <= sum(c.isdigit() for c in m[0]) <= 20]
+    found["name"] = names.find(text)
+    starts: list[int] = []  # of all spans taken, in order; none overlaps another
+    taken: list[tuple[int, int, str]] = []
+    for kind in ORDER:
+        for a, b in found[kind]:
+            i = bisect_left(starts, a)
+            if (i == len(starts) or starts[i] >= b) and (i == 0 or taken[i - 1][1] <= a):
+                starts.insert(i, a)
+                taken.insert(i, (a, b, kind))
+    return [(kind, a, b) for a, b, kind in taken]
 
 
 # ---- pseudonyms ------------------------------------------------------------------
@@ -207,18 +210,110 @@ def permute_date(yymmdd: str, key: bytes, undo: bool = False) -> str | None:
     return f"{d.year - 1900:02d}{d.month:02d}{d.day:02d}"
 
 
+# Country codes of one and of two digits (all others have three), the check
+# letters of the Spanish identity number, the weights of the Korean resident number, and
+# letters and pairs that no British insurance number begins with.
+COUNTRY_ONE = ("1", "7")
+COUNTRY_TWO = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+NIF_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
+RRN_WEIGHTS = (2, 3, 4, 5, 6, 7, 8, 9, 2, 3, 4, 5)
+NI_NEVER = ({"D", "F", "I", "Q", "U", "V"}, {"BG", "GB", "KN", "NK", "NT", "TN", "ZZ"})
+
+
+def id_kind(value: str) -> str:
+    """Which kind of identity number a finding is; '' for one without rules."""
+    m = ID.fullmatch(value)
+    return (m.lastgroup or "") if m else "tax" if re.fullmatch(r"\d{11}", value) else ""
+
+
+def valid(kind: str, value: str) -> bool:
+    """Check of an identity number by the rules of its kind: ranges or check digit."""
+    d = [int(c) for c in value if c.isdigit()]
+    letters = "".join(c for c in value if c.isalpha())
+    if kind == "ssn":
+        area, group, serial = (int("".join(map(str, d[i:j]))) for i, j in ((0, 3), (3, 5), (5, 9)))
+        return area not in (0, 666) and area < 900 and group > 0 and serial > 0
+    if kind == "rrn":
+        return (11 - sum(w * x for w, x in zip(RRN_WEIGHTS, d, strict=False)) % 11) % 10 == d[12]
+    if kind == "nif":
+        return NIF_LETTERS[int("".join(map(str, d))) % 23] == letters
+    if kind == "ni":
+        return not set(letters[:2]) & NI_NEVER[0] and letters[1] != "O" and letters[:2] not in NI_NEVER[1]
+    if kind == "tax":  # ISO 7064 mod 11,10; the first digit is no zero
+        p = 10
+        for x in d[:10]:
+            p = ((p + x) % 10 or 10) * 2 % 11
+        return d[0] != 0 and (11 - p) % 10 == d[10]
+    return True
+
+
+def _filled(value: str, digits: str) -> str:
+    it = iter(digits)
+    return "".join(next(it) if c.isdigit() else c for c in value)
+
+
+def _id_pseudonym(value: str, key: bytes) -> str:
+    """A number of the same format that is valid iff the given one is, by walking the cycle of
+    the permutation; a birth date stays a date, a check letter is made anew."""
+    kind = id_kind(value)
+    digits, was = "".join(c for c in value if c.isdigit()), valid(kind, value)
+    if kind == "nif":
+        new = permute(digits, key, "id")
+        return new + NIF_LETTERS[int(new) % 23]
+    day = permute_date(digits[:6], key) if kind == "rrn" else None
+    head, rest = (day, digits[6:]) if day else ("", digits)
+    while True:
+        rest = permute(rest, key, "id")
+        new = _filled(value, head + rest)
+        if kind == "ni" or valid(kind, new) == was:
+            return new
+
+
+def phone_parts(value: str) -> tuple[str, str, str, str]:
+    """(before, national number, extension mark, extension) of a telephone number as written:
+    the country code and trunk zero stand before and are kept, so that a number with and
+    without them is one number."""
+    m = re.match(r"(.*?)(\s?(?:ext\.?|x|Durchwahl)\s?)(\d{1,5})$", value)
+    body, mark, ext = (m[1], m[2], m[3]) if m else (value, "", "")
+    digits = [(i, c) for i, c in enumerate(body) if c.isdigit()]
+    text = "".join(c for _, c in digits)
+    skip = 0
+    if body.lstrip("(").startswith("+") or text.startswith("00"):
+        skip = 2 * text.startswith("00")
+        code = text[skip:]
+        skip += 1 if code[:1] in COUNTRY_ONE else 2 if code[:2] in COUNTRY_TWO else 3
+    elif len(text) == 11 and text[0] == "1":
+        skip = 1
+    if text[skip : skip + 1] == "0":  # the trunk zero, also as (0)
+        skip += 1
+    at = digits[skip][0] if skip < len(digits) else len(body)
+    return body[:at], body[at:], mark, ext
+
+
+def canonical(kind: str, value: str) -> str:
+    """The form in which equal values are equal: addresses of mail without their disguise,
+    names in the order given, family, numbers of telephones without country and extension."""
+    if kind == "email":
+        v = re.sub(r"\s?[\[(]\s?at\s?[\])]\s?|\sat\s", "@", value.lower())
+        v = re.sub(r"\s?[\[(]\s?(?:dot|punkt|punto)\s?[\])]\s?|\s(?:dot|punkt|punto)\s", ".", v)
+        return re.sub(r"\s", "", v)
+    if kind == "name":
+        family, comma, given = value.lower().partition(", ")
+        return " ".join(_TOKEN.findall(f"{given} {family}" if comma else family))
+    if kind == "phone":
+        return "".join(c for c in phone_parts(value)[1] if c.isdigit())
+    return re.sub(r"\W+", " ", value.lower()).strip()
+
+
 def pseudonym(kind: str, value: str, key: bytes) -> str:
     """Linked stand-in of a value, in its format where it is a number."""
-    if kind in ("phone", "id"):
-        digits = "".join(c for c in value if c.isdigit())
-        if kind == "id" and re.fullmatch(r"\d{6}-\d{7}", value) and (day := permute_date(digits[:6], key)):
-            new = day + permute(digits[6:], key, "id")
-        else:
-            new = permute(digits, key, kind)
-        it = iter(new)
-        return "".join(next(it) if c.isdigit() else c for c in value)
-    same = re.sub(r"\W+", "", value.lower())
-    return hmac.new(key, f"{kind}|{same}".encode(), hashlib.sha256).hexdigest()[:10]
+    if kind == "phone":
+        before, national, mark, ext = phone_parts(value)
+        new = permute(canonical(kind, value), key, kind)
+        return before + _filled(national, new) + mark + (permute(ext, key, "ext") if ext else "")
+    if kind == "id":
+        return _id_pseudonym(value, key)
+    return hmac.new(key, f"{kind}|{canonical(kind, value)}".encode(), hashlib.sha256).hexdigest()[:10]
 
 
 def mask(text: str, names: Names, key: bytes) -> str:
