@@ -67,17 +67,21 @@ def pair_counts(s: DataFrame) -> DataFrame:
 
 
 def fit(degrees: np.ndarray, multiplicity: np.ndarray, sizes: np.ndarray, baskets_of: np.ndarray, rounds: int = 2000, tol: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
-    """x per distinct item frequency, y per distinct basket size, by fixed-point iteration."""
+    """x per distinct item frequency, y per distinct basket size, by fixed-point iteration; an
+    iteration that does not come to rest (relative change below 1e-6) is an error."""
     total = float((degrees * multiplicity).sum())
     x, y = degrees / np.sqrt(total), sizes / np.sqrt(total)
     blocks = [slice(i, i + 4096) for i in range(0, len(x), 4096)]  # bounds the memory of the product
     for _ in range(rounds):
         nx = np.concatenate([degrees[b] / (baskets_of * y / (1 + np.outer(x[b], y))).sum(axis=1) for b in blocks])
         ny = sizes / sum((multiplicity[b] * nx[b] / (1 + np.outer(y, nx[b]))).sum(axis=1) for b in blocks)
-        done = max(np.abs(nx / x - 1).max(), np.abs(ny / y - 1).max()) < tol
+        gap = max(np.abs(nx / x - 1).max(), np.abs(ny / y - 1).max())
         x, y = nx, ny
-        if done:
+        if gap < tol:
             break
+    else:
+        if not gap < 1e-6:
+            raise RuntimeError(f"the null model did not come to rest in {rounds} rounds: relative change {gap:.1e}")
     return x, y
 
 
