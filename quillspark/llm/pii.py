@@ -79,6 +79,7 @@ _ADDRESS_TAIL = re.compile(
     rf"(?:,{_S}\d{{5}}{_S}[^\W\d_]+|,{_S}{_TOWN}[^\W\d_]+{_S}\d{{5}}(?!\d)|,{_S}{_TOWN}[A-Z][^\W\d_]+|,{_S}{_TOWN}[a-z]+(?=\s*(?:[.;,!?()\n]|$))|{_S}\d{{5}}\b)?"
 )
 _TOKEN = re.compile(r"[^\W\d_]+")
+_AT, _DIGIT = re.compile(r"@|at[\s)\]]"), re.compile(r"\d")
 ORDER = ("email", "address", "id", "phone", "name")
 
 
@@ -88,6 +89,7 @@ class Names:
     def __init__(self, given: set[str], family: set[str]):
         self.given, self.family = {g.lower() for g in given}, {f.lower() for f in family}
         self.affixes = [self._affixes(self.given), self._affixes(self.family)]
+        self._roles: dict[str, str] = {}
 
     @staticmethod
     def _affixes(names: set[str]) -> tuple[set[str], set[str]]:
@@ -103,8 +105,15 @@ class Names:
         return {h for h, k in heads.items() if k >= 3}, set(ends)
 
     def role(self, word: str) -> str:
-        """'g', 'f' or '' of a word."""
-        w = word.lower()
+        """'g', 'f' or '' of a word; kept by word, all forgotten when there are too many."""
+        got = self._roles.get(word)
+        if got is None:
+            if len(self._roles) >= 1 << 18:
+                self._roles.clear()
+            got = self._roles[word] = self._role(word.lower())
+        return got
+
+    def _role(self, w: str) -> str:
         if w in self.family:
             return "f"
         if w in self.given:
@@ -150,15 +159,17 @@ class Names:
 def find(text: str, names: Names) -> list[tuple[str, int, int]]:
     """(type, start, end) of all findings, in text order, none overlapping another."""
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in ORDER}
-    found["email"] = [m.span() for m in EMAIL.finditer(text)]
-    for m in ADDRESS.finditer(text):
+    # what no pattern of a type can do without is looked for first
+    at, digit = _AT.search(text), _DIGIT.search(text)
+    found["email"] = [m.span() for m in EMAIL.finditer(text)] if at else []
+    for m in ADDRESS.finditer(text) if digit else ():
         end = _ADDRESS_TAIL.match(text, m.end()).end()
         if text[end - 1] == "." and end > m.end() and text[end : end + 1] not in (".", ","):
             end -= 1
         found["address"].append((m.start(), end))
     # a Spanish number has no other mark than its check letter
-    found["id"] = [m.span() for m in ID.finditer(text) if m.lastgroup != "nif" or valid("nif", m[0])]
-    found["phone"] = [m.span() for m in PHONE.finditer(text) if 7 <= sum(c.isdigit() for c in m[0]) <= 20]
+    found["id"] = [m.span() for m in (ID.finditer(text) if digit else ()) if m.lastgroup != "nif" or valid("nif", m[0])]
+    found["phone"] = [m.span() for m in (PHONE.finditer(text) if digit else ()) if 7 <= sum(c.isdigit() for c in m[0]) <= 20]
     found["name"] = names.find(text)
     starts: list[int] = []  # of all spans taken, in order; none overlaps another
     taken: list[tuple[int, int, str]] = []
