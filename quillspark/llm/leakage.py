@@ -30,7 +30,7 @@ from quillspark.session import BROADCAST_ROWS, materialise, maybe_broadcast
 
 _TIMING = re.compile(r"^[^\S\n]*(?:(\d+):)?(\d{1,2}):(\d{2})[.,](\d{1,3})[^\S\n]*-{1,2}>.*$", re.M)
 _CUE_NO = re.compile(r"\n[^\S\n]*\d+[^\S\n]*\n*\Z")
-_MARKUP = re.compile(r"<[^<>\n]{1,60}>|\{\\[^{}\n]*\}")
+_MARKUP = re.compile(r"<[^<>\n]+>|\{\\[^{}\n]*\}")
 # [bracketed] anywhere, and lines wholly in parentheses, asterisks or note signs
 _SOUND = re.compile(r"\[[^\[\]\n]*\]|^[^\S\n]*[-–]?[^\S\n]*(?:\([^()\n]*\)|\*[^*\n]*\*|[♪♫][^\n]*)[^\S\n]*$", re.M)
 _SPEAKER = re.compile(r"^[^\S\n]*[-–]?[^\S\n]*[^\W\d_a-z][^\Wa-z]*(?:[ .][^\W\d_a-z][^\Wa-z]*){0,2}:[^\S\n]", re.M)
@@ -204,7 +204,7 @@ def longest_run(doc: list[str], test: str, offset: int, least: int) -> tuple[int
     return best, at
 
 
-def leaks(docs: DataFrame, tests: DataFrame, doc_id: str, text_col: str, item_id: str, item_text: str, words: int = 13, n_anchors: int = 3, votes: int = 2) -> DataFrame:
+def leaks(docs: DataFrame, tests: DataFrame, doc_id: str, text_col: str, item_id: str, item_text: str, words: int = 13, n_anchors: int = 5, votes: int = 2) -> DataFrame:
     """(doc, item, run, start): test items of which at least `words` consecutive words
     are spoken in a document, with the longest run and the word it starts with, from 0."""
     plain = F.pandas_udf(_plain_udf, "string")
