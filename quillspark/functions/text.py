@@ -273,6 +273,10 @@ def render_page(kind: Column, title: Column, context: Column, summary: Column, c
     return F.when(kind == "credential_entry", heading).otherwise(F.concat_ws("\n\n", F.array_compact(parts)))
 
 
+# The headings, marks and fixed lines of the pages below, which other operators and
+# earlier pages rely on.
+
+
 def wiki_page(title: Column, summary: Column, claims: Column, url: Column, source: Column, domain: Column, day: Column) -> Column:
     """Page of a concept: title, first sentence as a quotation, key points, the rest of the
     summary, the source, and an empty Related section at the end, where links are added.
