@@ -14,7 +14,6 @@ columns of the input are ignored.
 from __future__ import annotations
 
 import hashlib
-import logging
 import unicodedata
 from collections.abc import Iterator
 
@@ -22,8 +21,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-log = logging.getLogger(__name__)
-
 # Letters of other alphabets and the Latin letter (or digit) of the same shape.
 CYRILLIC_SHAPES = {
     "А": "A", "В": "B", "Е": "E", "З": "3", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O",
@@ -100,9 +97,8 @@ def confusables(spark: SparkSession) -> dict[str, str]:
         others = [ch for c in (*range(0x250, 0xD800), *range(0xF900, 0x20000)) if (ch := chr(c)) not in _TABLE and unicodedata.category(ch)[0] in "LNPSM" and unicodedata.normalize("NFD", ch) == ch]
         # one call: line ends part the characters, and no character's skeleton has one
         looks = made.getSkeleton("\n".join(ascii_chars + others)).split("\n")
-    except Exception:  # a Java exception or a missing class
-        log.warning("Unicode's confusables are not at hand; the built-in table is used", exc_info=True)
-        return _TABLE
+    except Exception as e:  # a Java exception or a missing class
+        raise RuntimeError("Unicode's confusables are not at hand: the ICU library (com.ibm.icu) is missing among Spark's jars or fails") from e
     if len(looks) != len(ascii_chars) + len(others):
         raise RuntimeError("the confusables table has an unexpected form")
     of_class: dict[str, list[str]] = {}

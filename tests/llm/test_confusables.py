@@ -1,5 +1,7 @@
 """The look-alike table with the public confusables of Unicode."""
 
+from types import SimpleNamespace
+
 import pytest
 
 pytest.importorskip("quillspark.llm")
@@ -38,3 +40,14 @@ def test_hot_look_gives_one_row_per_document(spark):
     keys = lookalike.look_keys(spark.createDataFrame(rows, "doc_id long, text string"))
     got = lookalike.classes(keys)
     assert got.count() == 600 and got.where("n_texts = 2").count() == 200
+
+
+def test_missing_or_broken_library_is_an_error_not_a_smaller_table():
+    def broken():
+        raise ValueError("no data file")
+
+    without = SimpleNamespace()
+    fails = SimpleNamespace(com=SimpleNamespace(ibm=SimpleNamespace(icu=SimpleNamespace(text=SimpleNamespace(SpoofChecker=SimpleNamespace(Builder=broken))))))
+    for jvm in (without, fails):
+        with pytest.raises(RuntimeError, match="ICU"):
+            lookalike.confusables(SimpleNamespace(sparkContext=SimpleNamespace(_jvm=jvm)))
